@@ -96,9 +96,8 @@ def parse_pair_answers(answers: DataFrame, answer: str) -> DataFrame:
     # A variant's own description tells a JSON string from other values.
     response_kind = F.schema_of_variant(response)
     is_object = F.schema_of_variant("_envelope").startswith("OBJECT")
-    has_response = F.get_json_object(answer, "$.response").isNotNull()
     text = F.when(response_kind == "STRING", response.cast("string")).when(
-        is_object & response.isNull() & ~has_response, "[]"
+        is_object & response.isNull(), "[]"
     )
     items = F.try_variant_get(F.try_parse_json("_text"), "$", "array<variant>")
     parsed = (

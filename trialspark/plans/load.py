@@ -7,8 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from itertools import groupby
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Observation, Row, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from trialspark.operators.harmonize import DEFAULT_SYNONYMS, harmonize
 from trialspark.plans.store import TableStore
@@ -62,12 +61,9 @@ def _load_file(
         if store.exists(table):
             return (path, table, layout.encoding, layout.sep, "skipped", None, None, None)
         found = profile(spark, layout) if layout.width else Profile(True, False, (), 0, 0)
-        written = Observation()
-        counted = harmonize(scan(spark, layout, found), synonyms).observe(
-            written, F.count(F.lit(1)).alias("n_rows")
-        )
-        store.create(table, counted)
-        n_rows = written.get["n_rows"]
+        store.create(table, harmonize(scan(spark, layout, found), synonyms))
+        # Counting a stored parquet table reads file footers only.
+        n_rows = store.read(table).count()
     except Exception as error:  # noqa: BLE001 - one bad file must not stop the others
         encoding, sep = (layout.encoding, layout.sep) if layout else (None, None)
         return (path, table, encoding, sep, "failed", str(error).split("\n")[0], None, None)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import posixpath
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs
+from pyarrow import ArrowInvalid, fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         for info in zipped.infolist()
                         if _safe_member(info.filename)
                     ]
-            except zipfile.BadZipFile:
+            except (zipfile.BadZipFile, ArrowInvalid):
                 rows.append((archive, target, None, None, BAD_ZIP))
         yield pd.DataFrame(rows, columns=columns)
 
@@ -90,8 +91,11 @@ def _extract_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for at, member, target in zip(members.index, members["member"], members["target"]):
                     try:
                         _copy_member(zipped, member, target)
-                    except zipfile.BadZipFile:
+                    except (zipfile.BadZipFile, zlib.error, EOFError):
                         errors[batch.index.get_loc(at)] = BAD_ZIP
+                    except (RuntimeError, NotImplementedError) as error:
+                        # Encrypted, or packed in a way Python cannot undo.
+                        errors[batch.index.get_loc(at)] = str(error)
         yield batch.assign(error=errors)
 
 
