@@ -131,8 +131,11 @@ def expand_archives(spark: SparkSession, root: str) -> DataFrame:
         F.lit(None).cast("string").alias("error"),
         F.lit("skipped").alias("status"),
     )
-    members = todo.repartition("archive").mapInPandas(_list_members, _MEMBER_SCHEMA)
-    spread = members.repartition("archive", "member")
+    # An explicit number: these rows are few bytes but much work, and adaptive
+    # execution would merge them into one task by size.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    members = todo.repartition(tasks, "archive").mapInPandas(_list_members, _MEMBER_SCHEMA)
+    spread = members.repartition(tasks, "archive", "member")
     outcome = F.when(F.col("error").isNull(), "extracted").otherwise("failed")
     extracted = spread.mapInPandas(_extract_members, _MEMBER_SCHEMA).withColumn("status", outcome)
     report = extracted.union(skipped.select(*extracted.columns)).checkpoint()

@@ -11,7 +11,7 @@ import csv
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.operators.harmonize import unique_headers
@@ -24,6 +24,7 @@ MALFORMED = "_malformed"
 # Column separator that keeps a line in one piece.
 WHOLE_LINE = "\u0001\u0002"
 SNIFF_LINES = 20
+SAMPLE_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -89,12 +90,7 @@ def sniff(spark: SparkSession, path: str, first_part: str | None = None) -> Layo
     return Layout(path, "utf-16" if utf16 else "utf-8", sep, quote, escape, line_sep, tuple(cells))
 
 
-# ------------------------------------------------------------ value type mask
-
-# One bit per type a text value can be read as.
-BOOL, LONG, HUGE, INTEGRAL, DOUBLE, DATE, DATE_SLASH, TIMESTAMP, TIMESTAMP_TZ = (
-    1 << bit for bit in range(9)
-)
+# ---------------------------------------------------------------- value kinds
 
 # Spellings of typed values. Leading zeros and a plus sign mark
 # identifiers, which stay text.
@@ -108,74 +104,76 @@ DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}$"
 DATE_SLASH_PATTERN = r"^\d{4}/\d{1,2}/\d{1,2}$"
 TIMESTAMP_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
 TIMESTAMP_TZ_PATTERN = (
-    r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)? ?(Z|[+-]\d{1,2}(:?\d{2})?)$"
+    r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)? ?(Z|[+-]\d{1,2}(:?\d{2})?)?)?$"
 )
 
-# Kind of column -> (bit that every value must have, Spark type), most specific
-# first. Integers too long for 38 digits stay text rather than lose digits.
-KINDS: dict[str, tuple[int, str]] = {
-    "boolean": (BOOL, "boolean"),
-    "long": (LONG, "bigint"),
-    "huge": (HUGE, "decimal(38,0)"),
-    "digits": (INTEGRAL, "string"),
-    "double": (DOUBLE, "double"),
-    "date": (DATE, "date"),
-    "date_slash": (DATE_SLASH, "date"),
-    "timestamp": (TIMESTAMP, "timestamp_ntz"),
-    "timestamp_tz": (TIMESTAMP_TZ, "timestamp"),
+# Kinds of column and their Spark types, most specific first. Integers too long
+# for 38 digits ("digits") stay text rather than lose digits.
+KINDS: dict[str, str] = {
+    "boolean": "boolean",
+    "long": "bigint",
+    "huge": "decimal(38,0)",
+    "digits": "string",
+    "double": "double",
+    "date": "date",
+    "date_slash": "date",
+    "timestamp": "timestamp_ntz",
+    "timestamp_tz": "timestamp",
 }
+TEXT = "text"
 
 
-def type_mask(text: Column) -> Column:
-    """Bits of the types one value can be read as; null for a missing value."""
+def fits(text: Column, kind: str) -> Column:
+    """True if a value can be read as a kind; null for a missing value."""
     value = F.trim(text)
 
-    def bit(flag: int, condition: Column) -> Column:
-        return F.when(condition, flag).otherwise(0)
-
-    integral = value.rlike(INTEGRAL_PATTERN)
-    is_date = value.rlike(DATE_PATTERN) & value.try_cast("date").isNotNull()
-    slashed = F.replace(value, F.lit("/"), F.lit("-"))
-    is_slashed = value.rlike(DATE_SLASH_PATTERN) & slashed.try_cast("date").isNotNull()
-    plain = value.rlike(TIMESTAMP_PATTERN) & value.try_cast("timestamp_ntz").isNotNull()
-    zoned = value.rlike(TIMESTAMP_TZ_PATTERN) & value.try_cast("timestamp").isNotNull()
-    starts_like_number = value.rlike(r"^-?[0-9.]|^(?i:-?infinity|nan)$")
-    numeric = (
-        bit(INTEGRAL, integral)
-        .bitwiseOR(bit(LONG, integral & value.try_cast("bigint").isNotNull()))
-        .bitwiseOR(bit(HUGE, integral & value.try_cast("decimal(38,0)").isNotNull()))
-        .bitwiseOR(bit(DOUBLE, value.rlike(DOUBLE_PATTERN)))
-    )
-    temporal = (
-        bit(DATE, is_date)
-        .bitwiseOR(bit(DATE_SLASH, is_slashed))
-        .bitwiseOR(bit(TIMESTAMP | TIMESTAMP_TZ, plain))
-        .bitwiseOR(bit(TIMESTAMP_TZ, zoned))
-    )
-    return (
-        F.when(text.isNull(), F.lit(None).cast("int"))
-        .when(F.lower(value).isin(*TRUE_WORDS, *FALSE_WORDS), BOOL)
-        .when(value.rlike(r"^\d{4}[-/]"), temporal)
-        .when(starts_like_number, numeric)
-        .otherwise(0)
-    )
+    def castable(pattern: str, cast_type: str, source: Column = value) -> Column:
+        return value.rlike(pattern) & source.try_cast(cast_type).isNotNull()
+
+    match kind:
+        case "boolean":
+            return F.lower(value).isin(*TRUE_WORDS, *FALSE_WORDS)
+        case "long" | "huge":
+            return castable(INTEGRAL_PATTERN, KINDS[kind])
+        case "digits":
+            return value.rlike(INTEGRAL_PATTERN)
+        case "double":
+            return value.rlike(DOUBLE_PATTERN)
+        case "date":
+            return castable(DATE_PATTERN, "date")
+        case "date_slash":
+            return castable(DATE_SLASH_PATTERN, "date", F.replace(value, F.lit("/"), F.lit("-")))
+        case "timestamp":
+            return castable(TIMESTAMP_PATTERN, "timestamp_ntz")
+        case "timestamp_tz":
+            return castable(TIMESTAMP_TZ_PATTERN, "timestamp")
+        case _:
+            return text.isNotNull()
+
+
+def kind_mask(text: Column) -> Column:
+    """One bit per kind that a value fits, in the order of ``KINDS``; null if missing."""
+    mask = F.when(text.isNotNull(), 0)
+    for bit, kind in enumerate(KINDS):
+        mask = mask.bitwiseOR(F.when(fits(text, kind), 1 << bit).otherwise(0))
+    return mask
 
 
 def kind_of(mask: int | None) -> str:
-    """Column kind for the conjunction of its value masks."""
-    return next((kind for kind, (bit, _) in KINDS.items() if mask and mask & bit), "text")
+    """Most specific kind in the conjunction of value masks; text if there is none."""
+    return next((kind for bit, kind in enumerate(KINDS) if mask and mask >> bit & 1), TEXT)
 
 
 def typed(text: Column, kind: str) -> Column:
     """Value of a text column as its kind."""
-    if kind == "text":
+    if kind == TEXT:
         return text
     value = F.trim(text)
     if kind == "boolean":
         return F.when(text.isNotNull(), F.lower(value).isin(*TRUE_WORDS))
     if kind == "date_slash":
         value = F.replace(value, F.lit("/"), F.lit("-"))
-    return value.cast(KINDS[kind][1])
+    return value.cast(KINDS[kind])
 
 
 # ------------------------------------------------------------------ the scan
@@ -199,7 +197,9 @@ def _lines(spark: SparkSession, layout: Layout, header: bool) -> DataFrame:
         reader = reader.options(encoding="UTF-16LE", lineSep=layout.line_sep)
     lines = reader.csv(literal_path(layout.path))
     whole = F.coalesce(F.col(MALFORMED), F.col("line"))
-    return lines.select(F.regexp_replace(whole, f"^{BOM}", "").alias("line"))
+    if not header:
+        whole = F.regexp_replace(whole, f"^{BOM}", "")
+    return lines.select(whole.alias("line"))
 
 
 def _parse_options(layout: Layout) -> dict[str, str]:
@@ -243,46 +243,112 @@ def _blank_rows(spark: SparkSession, layout: Layout) -> int:
     return lines.where(value.rlike(r"^ *\t\s*$")).count()
 
 
-def profile(spark: SparkSession, layout: Layout) -> Profile:
-    """One pass over all records: column kinds, header, ragged and quoted-newline records."""
-    masks = [F.bit_and(type_mask(F.col(_field(i)))).alias(_field(i)) for i in range(layout.width)]
-    ragged = F.count_if(F.col(MALFORMED).isNotNull()).alias("n_ragged")
-    count = F.count(F.lit(1)).alias("n_rows")
+Masks = dict[str, int | None]
+
+
+def _masks(records: DataFrame, columns: list[str], by: str | None = None) -> dict[object, Masks]:
+    """Kinds that all values of a column fit, as bits; None for a column without values.
+
+    Masks are kept apart by the values of column ``by``, if given. Columns are
+    turned into rows first, so that the generated code is the same small piece
+    for every file, however wide.
+    """
+    group = F.col(by) if by else F.lit(None)
+    cells = records.select(group.alias("group"), F.posexplode(F.array(*columns)).alias("at", "value"))
+    masks = cells.groupBy("group", "at").agg(F.bit_and(kind_mask(F.col("value"))).alias("mask"))
+    found: dict[object, Masks] = {}
+    for row in masks.collect():
+        found.setdefault(row["group"], dict.fromkeys(columns))[columns[row["at"]]] = row["mask"]
+    return found
+
 
+def _preview_masks(records: DataFrame, layout: Layout, columns: list[str]) -> tuple[Masks, Masks]:
+    """Masks of the header line and of the first records, read like a preview."""
+    header = tuple(cell.strip() or None for cell in layout.first_row)
+    rows = [(False, *row) for row in records.select(*columns).head(SAMPLE_ROWS)]
+    schema = ", ".join(["is_header boolean", *(f"{name} string" for name in columns)])
+    preview = records.sparkSession.createDataFrame([(True, *header), *rows], schema)
+    found = _masks(preview, columns, by="is_header")
+    return found[True], found.get(False, dict.fromkeys(columns))
+
+
+def _line_checks(layout: Layout) -> list[Column]:
     line = F.col("line")
     quotes = F.length(line) - F.length(F.replace(line, F.lit(layout.quote), F.lit("")))
-    open_quote = F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open_quote")
-    replaced = F.coalesce(F.bool_or(line.contains(REPLACEMENT)), F.lit(False)).alias("replaced")
-    seen = (
-        _records(spark, layout, header=True, multi_line=False)
-        .agg(count, ragged, open_quote, replaced, *masks)
-        .first()
-    )
+    return [
+        F.bool_or(quotes % 2 == 1).alias("open_quote"),
+        F.bool_or(line.contains(REPLACEMENT)).alias("replaced"),
+    ]
+
+
+def _test_kinds(
+    records: DataFrame, masks: Masks, checks: list[Column]
+) -> tuple[Row, dict[str, str], list[str]]:
+    """One pass over all records that tests the kind proposed for each column.
+
+    Returns the record counts, the kinds that hold, and the columns still open.
+    """
+    kinds = {name: kind_of(mask) for name, mask in masks.items()}
+    tests = []
+    for name, kind in kinds.items():
+        value = F.col(name)
+        if masks[name] is None:
+            tests.append((F.count(value) == 0).alias(name))
+        elif kind != TEXT:
+            tests.append(F.bool_and(fits(value, kind)).alias(name))
+    seen = records.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col(MALFORMED).isNotNull()).alias("n_ragged"),
+        # Spark's CSV reader wants a real column next to the malformed one.
+        F.count(_field(0)).alias("n_first"),
+        *checks,
+        *tests,
+    ).first()
+    return seen, kinds, [name for name in kinds if name in seen and seen[name] is False]
+
+
+def profile(spark: SparkSession, layout: Layout) -> Profile:
+    """Column kinds, header, ragged and quoted-newline records of a whole file.
+
+    The first records propose the most specific kind of each column, so that the
+    pass over the whole file has one kind per column to test, and nothing to
+    test in text columns. Columns that fail are profiled in full by one more
+    pass. The outcome is that of a full profile: what all records fit, the first
+    ones fit as well.
+    """
+    columns = [_field(i) for i in range(layout.width)]
+    records = _records(spark, layout, header=True, multi_line=False)
+    first, sample = _preview_masks(records, layout, columns)
+    seen, kinds, open_columns = _test_kinds(records, sample, _line_checks(layout))
     if seen["replaced"] and layout.encoding == "utf-8":
         _require_utf8(spark, layout)
-    multi_line = seen["open_quote"]
+    multi_line = bool(seen["open_quote"])
     if multi_line:
         records = _records(spark, layout, header=True, multi_line=True)
-        seen = records.agg(count, ragged, *masks).first()
-
-    cells = [F.lit(cell or None).cast("string") for cell in layout.first_row]
-    first = spark.range(1).select(*(type_mask(cell) for cell in cells)).first()
-    kinds = [kind_of(seen[_field(i)]) for i in range(layout.width)]
-    if seen["n_rows"] == 0:
-        header = all(kind_of(mask) == "text" for mask in first)
-        kinds = ["text" if header else kind_of(mask) for mask in first]
-    else:
+        first, sample = _preview_masks(records, layout, columns)
+        seen, kinds, open_columns = _test_kinds(records, sample, [])
+    if open_columns:
+        settled = _masks(records, open_columns)[None]
+        kinds |= {name: kind_of(mask) for name, mask in settled.items()}
+
+    if seen["n_rows"]:
         header = _is_header(kinds, first)
-    return Profile(header, multi_line, tuple(kinds), seen["n_ragged"], _blank_rows(spark, layout))
+    else:
+        header = all(kind_of(mask) == TEXT for mask in first.values())
+        kinds = {name: TEXT if header else kind_of(mask) for name, mask in first.items()}
+    n_blank = _blank_rows(spark, layout)
+    return Profile(header, multi_line, tuple(kinds[c] for c in columns), seen["n_ragged"], n_blank)
 
 
-def _is_header(kinds: list[str], first_masks: tuple[int | None, ...]) -> bool:
-    """The first row names the columns if it does not fit their types, or all are text."""
-    if all(KINDS.get(kind, (0, "string"))[1] == "string" for kind in kinds):
+def _is_header(kinds: dict[str, str], first: Masks) -> bool:
+    """The first row names the columns if it does not fit their kinds, or all are text."""
+    typed_columns = [name for name, kind in kinds.items() if KINDS.get(kind, "string") != "string"]
+    if not typed_columns:
         return True
+    order = list(KINDS)
     return any(
-        kind != "text" and mask is not None and not mask & KINDS[kind][0]
-        for kind, mask in zip(kinds, first_masks)
+        first[name] is not None and not first[name] >> order.index(kinds[name]) & 1
+        for name in typed_columns
     )
 
 
