@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 ColumnOrName = Column | str
 
-# The white space that Python's str.strip() removes, written as a
-# Java character class (Spark's trim() only removes U+0020).
-WHITESPACE_CLASS = r"[\s\x1c-\x1f\x85\p{Z}]"
+# The white space that Python's str.strip() removes (Spark's trim()
+# alone only removes U+0020).
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 # First words that mark console input as SQL, and the words that
 # close the console.
@@ -32,13 +35,12 @@ def _col(value: ColumnOrName) -> Column:
 
 def strip(text: ColumnOrName) -> Column:
     """Remove leading and trailing white space of any Unicode kind."""
-    pattern = f"^{WHITESPACE_CLASS}+|{WHITESPACE_CLASS}+$"
-    return F.regexp_replace(_col(text), pattern, "")
+    return F.btrim(_col(text), F.lit(WHITESPACE))
 
 
 def sanitize_name(name: ColumnOrName) -> Column:
     """Folder name of a protocol: ASCII letters, digits, ``-``, ``_``; spaces become ``_``."""
-    kept = F.regexp_replace(_col(name), r"[^a-zA-Z0-9\-_ ]", "")
+    kept = F.regexp_replace(_col(name), r"[^a-zA-Z0-9\-_ ]+", "")
     return F.replace(F.trim(kept), F.lit(" "), F.lit("_"))
 
 
@@ -96,16 +98,21 @@ def _drop_language_line(text: Column) -> Column:
     return F.regexp_replace(text, r"^(?i:sql|duckdb)\n", "")
 
 
-# Fixed value: a fenced block, optionally tagged sql or duckdb.
-FENCED_BLOCK = r"(?is)```(?:sql|duckdb)?\n?(.*?)\n?```"
+FENCE = "```"
 
 
 def sql_from_answer(answer: ColumnOrName) -> Column:
-    """SQL of a chat answer: the first fenced block anywhere, else the bare text."""
+    """SQL of a chat answer: the first fenced block anywhere, else the bare text.
+
+    A ``sql`` or ``duckdb`` tag of the block goes, any other stays in the text.
+    """
     text = strip(answer)
-    fenced = strip(F.regexp_extract(text, FENCED_BLOCK, 1))
-    bare = strip(F.replace(_drop_language_line(text), F.lit("```"), F.lit("")))
-    return F.when(text.rlike(FENCED_BLOCK), fenced).otherwise(bare)
+    opened = F.instr(text, FENCE)
+    after = F.when(opened > 0, F.substring(text, opened + len(FENCE), F.length(text)))
+    block = F.substring_index(after, FENCE, 1)
+    fenced = strip(F.regexp_replace(block, r"^(?i:sql|duckdb)", ""))
+    bare = strip(F.replace(_drop_language_line(text), F.lit(FENCE), F.lit("")))
+    return F.when(after.contains(FENCE), fenced).otherwise(bare)
 
 
 def sql_from_console_answer(answer: ColumnOrName) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,59 +85,73 @@ def question_prompts(
     )
 
 
-def parse_pair_answers(answers: DataFrame, answer: str) -> DataFrame:
-    """Model answers with ``prompt, chosen, rejected, reason`` added.
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    An answer is a JSON object whose ``response`` (default ``[]``) is a text that
-    holds a JSON array of three items. Items become strings; objects and arrays
-    among them keep their JSON text. For any other answer the three columns are
-    null and ``reason`` says why.
-    """
-    envelope = F.try_parse_json(F.col(answer))
-    response = F.try_variant_get("_envelope", "$.response", "variant")
-    # A variant's own description tells a JSON string from other values.
-    response_kind = F.schema_of_variant(response)
-    is_object = F.schema_of_variant("_envelope").startswith("OBJECT")
-    text = F.when(response_kind == "STRING", response.cast("string")).when(
-        is_object & response.isNull(), "[]"
-    )
-    items = F.try_variant_get(F.try_parse_json("_text"), "$", "array<variant>")
-    parsed = (
-        answers.withColumn("_envelope", envelope)
-        .withColumn("_text", text)
-        .withColumn("_items", items)
+
+def _item_text(item: Column) -> Column:
+    """A JSON item as text; objects and arrays keep their JSON form."""
+    kind = F.schema_of_variant(item)
+    text = item.cast("string")
+    return (
+        F.when(item.isNull() | (kind == "VOID"), "None")
+        .when(kind == "BOOLEAN", F.initcap(text))
+        .otherwise(text)
     )
-    reason = (
-        F.when(F.col("_envelope").isNull() | ~is_object, "bad_envelope")
-        .when(F.col("_text").isNull(), "response_not_text")
-        .when(F.try_parse_json("_text").isNull(), "bad_json")
-        .when(F.col("_items").isNull(), "not_a_list")
-        .when(F.size("_items") != 3, "not_three_items")
+
+
+def _outcome(reason: str | None, items: Column | None = None) -> Column:
+    values = [F.lit(None).cast("string")] * 3
+    if items is not None:
+        values = [_item_text(F.get(items, F.lit(position))) for position in range(3)]
+    return F.struct(
+        values[0].alias("prompt"),
+        values[1].alias("chosen"),
+        values[2].alias("rejected"),
+        F.lit(reason).cast("string").alias("reason"),
     )
 
-    def item(position: int) -> Column:
-        value = F.get("_items", F.lit(position))
-        kind = F.schema_of_variant(value)
-        as_text = value.cast("string")
-        return (
-            F.when(value.isNull() | (kind == "VOID"), "None")
-            .when(kind == "BOOLEAN", F.initcap(as_text))
-            .otherwise(as_text)
+
+def _parsed_list(parsed: Column) -> Column:
+    """Outcome of the JSON value inside a response."""
+    return F.when(parsed.isNull(), _outcome("bad_json")).otherwise(
+        _let(
+            F.try_variant_get(parsed, "$", "array<variant>"),
+            lambda items: F.when(items.isNull(), _outcome("not_a_list"))
+            .when(F.size(items) != 3, _outcome("not_three_items"))
+            .otherwise(_outcome(None, items)),
         )
+    )
 
-    accepted = F.col("reason").isNull()
-    return (
-        parsed.withColumn("reason", reason)
-        .withColumns(
-            {
-                name: F.when(accepted, item(position))
-                for position, name in enumerate(("prompt", "chosen", "rejected"))
-            }
+
+def _parsed_envelope(envelope: Column) -> Column:
+    """Outcome of an answer's JSON object."""
+    is_object = F.schema_of_variant(envelope).startswith("OBJECT")
+    return F.when(envelope.isNull() | ~is_object, _outcome("bad_envelope")).otherwise(
+        _let(
+            F.try_variant_get(envelope, "$.response", "variant"),
+            lambda response: F.when(response.isNull(), _outcome("not_three_items"))
+            .when(F.schema_of_variant(response) != "STRING", _outcome("response_not_text"))
+            .otherwise(_let(F.try_parse_json(response.cast("string")), _parsed_list)),
         )
-        .drop("_envelope", "_text", "_items")
     )
 
 
+def parse_pair_answers(answers: DataFrame, answer: str) -> DataFrame:
+    """Model answers with ``prompt, chosen, rejected, reason`` added.
+
+    An answer is a JSON object whose ``response`` (default: an empty list) is a
+    text that holds a JSON array of three items. Items become strings. For any
+    other answer the three columns are null and ``reason`` says why.
+
+    Each JSON text is parsed once; the outcome comes out of a generator, so that
+    a later filter on it does not parse the answer again.
+    """
+    outcome = _let(F.try_parse_json(F.col(answer)), _parsed_envelope)
+    return answers.select("*", F.inline(F.array(outcome)))
+
+
 def valid_pairs(parsed: DataFrame) -> DataFrame:
     """Accepted answers as ``(prompt, chosen, rejected)``."""
     return parsed.where("reason is null").select("prompt", "chosen", "rejected")

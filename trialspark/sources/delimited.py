@@ -231,16 +231,20 @@ def _records(spark: SparkSession, layout: Layout, header: bool, multi_line: bool
 
 
 def _blank_rows(spark: SparkSession, layout: Layout) -> int:
-    """Tab-separated records with no value at all, which the CSV reader leaves out."""
-    if layout.sep != "\t" or layout.width < 2:
+    """Records without any value that Spark's CSV reader takes for empty lines.
+
+    These are lines of tabs only, and the empty lines of a one-column file.
+    """
+    if layout.width > 1 and layout.sep != "\t":
         return 0
+    pattern = r"^\r?$" if layout.width == 1 else r"^ *\t\s*$"
     value = F.col("value")
     options = {}
     if layout.encoding == "utf-16":
         options = {"encoding": "UTF-16LE", "lineSep": layout.line_sep}
         value = F.decode(value.cast("binary"), "UTF-16LE")
     lines = spark.read.options(**options).text(literal_path(layout.path))
-    return lines.where(value.rlike(r"^ *\t\s*$")).count()
+    return lines.where(value.rlike(pattern)).count()
 
 
 Masks = dict[str, int | None]
@@ -336,7 +340,7 @@ def profile(spark: SparkSession, layout: Layout) -> Profile:
     else:
         header = all(kind_of(mask) == TEXT for mask in first.values())
         kinds = {name: TEXT if header else kind_of(mask) for name, mask in first.items()}
-    n_blank = _blank_rows(spark, layout)
+    n_blank = 0 if multi_line else _blank_rows(spark, layout)
     return Profile(header, multi_line, tuple(kinds[c] for c in columns), seen["n_ragged"], n_blank)
 
 
