@@ -17,7 +17,12 @@ from trialspark.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory: pytest.TempPathFactory) -> Iterator[SparkSession]:
     warehouse = tmp_path_factory.mktemp("warehouse")
-    session = local_session(4, "tests", spark__sql__warehouse__dir=str(warehouse))
+    session = local_session(
+        4,
+        "tests",
+        spark__sql__warehouse__dir=str(warehouse),
+        spark__sql__maxMetadataStringLength="10000",
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -20,10 +20,10 @@ class NotReadOnly(ValueError):
 def run_sql(spark: SparkSession, text: str) -> DataFrame:
     """Result of one read-only statement; Spark's own errors pass through.
 
-    A query runs as ``SELECT * FROM (<query>)``: Spark's grammar admits no
-    INSERT, DDL, SET or second statement inside a subquery, so the parser itself
-    refuses everything that writes, including ``WITH .. INSERT``. SHOW, DESCRIBE
-    and EXPLAIN run as they are.
+    A query runs as a common table expression inside ``SELECT * FROM (..)``:
+    Spark's grammar admits no INSERT, DDL, SET or second statement there, so the
+    parser itself refuses everything that writes, including ``WITH .. INSERT``.
+    SHOW, DESCRIBE and EXPLAIN run as they are.
     """
     body = _TRAILING.sub("", _LEADING.sub("", text)).strip()
     if not body:
@@ -31,6 +31,6 @@ def run_sql(spark: SparkSession, text: str) -> DataFrame:
     if _METADATA.match(body):
         return spark.sql(body)
     try:
-        return spark.sql(f"SELECT * FROM (\n{body}\n)")
+        return spark.sql(f"SELECT * FROM (WITH read_only AS (\n{body}\n) SELECT * FROM read_only)")
     except ParseException as error:
         raise NotReadOnly(f"not a single read-only query: {error}") from error

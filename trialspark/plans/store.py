@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialspark.sources.discovery import literal_path
+
 
 class TableStore(Protocol):
     """Tables by name. ``create`` never touches an existing table."""
@@ -73,13 +75,13 @@ class FolderStore:
         files = (
             self.spark.read.format("binaryFile")
             .options(pathGlobFilter="*.parquet", recursiveFileLookup="true")
-            .load(self.root)
+            .load(literal_path(self.root))
         )
         folder = F.substring_index(F.substring_index("path", "/", -2), "/", 1)
         return sorted(row[0] for row in files.select(folder).distinct().collect())
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name))
+        return self.spark.read.parquet(literal_path(self._path(name)))
 
     def create(self, name: str, df: DataFrame) -> None:
         if not self.exists(name):
