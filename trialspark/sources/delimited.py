@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ MALFORMED = "_malformed"
 WHOLE_LINE = "\u0001\u0002"
 SNIFF_LINES = 20
 SAMPLE_ROWS = 1000
+PREVIEW_CHARS = 256
 
 
 @dataclass(frozen=True)
@@ -266,23 +268,37 @@ def _masks(records: DataFrame, columns: list[str], by: str | None = None) -> dic
     return found
 
 
-def _preview_masks(records: DataFrame, layout: Layout, columns: list[str]) -> tuple[Masks, Masks]:
-    """Masks of the header line and of the first records, read like a preview."""
-    header = tuple(cell.strip() or None for cell in layout.first_row)
-    rows = [(False, *row) for row in records.select(*columns).head(SAMPLE_ROWS)]
-    schema = ", ".join(["is_header boolean", *(f"{name} string" for name in columns)])
-    preview = records.sparkSession.createDataFrame([(True, *header), *rows], schema)
-    found = _masks(preview, columns, by="is_header")
-    return found[True], found.get(False, dict.fromkeys(columns))
+@dataclass(frozen=True)
+class _Preview:
+    """Masks of the header line and of the first records, and a sign of quoted newlines."""
+
+    first: Masks
+    sample: Masks
+    open_quote: bool
 
 
-def _line_checks(layout: Layout) -> list[Column]:
+def _open_quote(layout: Layout) -> Column:
+    """True for a line that ends inside a quoted field (or holds a stray quote)."""
     line = F.col("line")
     quotes = F.length(line) - F.length(F.replace(line, F.lit(layout.quote), F.lit("")))
-    return [
-        F.bool_or(quotes % 2 == 1).alias("open_quote"),
-        F.bool_or(line.contains(REPLACEMENT)).alias("replaced"),
-    ]
+    return quotes % 2 == 1
+
+
+def _preview(records: DataFrame, layout: Layout, columns: list[str]) -> _Preview:
+    """Look at the first records the way ``show`` does; long values are cut for it.
+
+    A cut value can only propose a wrong kind, which the pass over all records
+    then turns down.
+    """
+    is_open = _open_quote(layout) if "line" in records.columns else F.lit(False)
+    cut = [F.substring(F.trim(name), 1, PREVIEW_CHARS).alias(name) for name in columns]
+    rows = records.select(is_open.alias("is_open"), *cut).head(SAMPLE_ROWS)
+    header = tuple(cell.strip() or None for cell in layout.first_row)
+    schema = ", ".join(["is_header boolean", *(f"{name} string" for name in columns)])
+    lines = [(True, *header), *((False, *row[1:]) for row in rows)]
+    found = _masks(records.sparkSession.createDataFrame(lines, schema), columns, by="is_header")
+    sample = found.get(False, dict.fromkeys(columns))
+    return _Preview(found[True], sample, any(row["is_open"] for row in rows))
 
 
 def _test_kinds(
@@ -322,15 +338,24 @@ def profile(spark: SparkSession, layout: Layout) -> Profile:
     """
     columns = [_field(i) for i in range(layout.width)]
     records = _records(spark, layout, header=True, multi_line=False)
-    first, sample = _preview_masks(records, layout, columns)
-    seen, kinds, open_columns = _test_kinds(records, sample, _line_checks(layout))
-    if seen["replaced"] and layout.encoding == "utf-8":
-        _require_utf8(spark, layout)
-    multi_line = bool(seen["open_quote"])
+    preview = _preview(records, layout, columns)
+    multi_line = preview.open_quote
+    if not multi_line:
+        line_checks = [
+            F.bool_or(_open_quote(layout)).alias("open_quote"),
+            F.bool_or(F.col("line").contains(REPLACEMENT)).alias("replaced"),
+        ]
+        seen, kinds, open_columns = _test_kinds(records, preview.sample, line_checks)
+        multi_line = bool(seen["open_quote"])
     if multi_line:
         records = _records(spark, layout, header=True, multi_line=True)
-        first, sample = _preview_masks(records, layout, columns)
-        seen, kinds, open_columns = _test_kinds(records, sample, [])
+        preview = _preview(records, layout, columns)
+        replaced = [F.coalesce(F.col(name).contains(REPLACEMENT), F.lit(False)) for name in columns]
+        checks = [F.bool_or(reduce(Column.__or__, replaced)).alias("replaced")]
+        seen, kinds, open_columns = _test_kinds(records, preview.sample, checks)
+    first = preview.first
+    if seen["replaced"] and layout.encoding == "utf-8":
+        _require_utf8(spark, layout)
     if open_columns:
         settled = _masks(records, open_columns)[None]
         kinds |= {name: kind_of(mask) for name, mask in settled.items()}
