@@ -62,11 +62,13 @@ def pair_requests(bullets: DataFrame, count: int, template: str = PAIR_REQUEST)
     tables = F.array_sort(F.collect_list(F.struct("table_name", "text")))
     listing = bullets.agg(tables.alias("tables"))
     n_tables = bullets.count()
-    slot = F.col("id")
-    table = F.element_at(listing.scalar(), (slot % F.lit(n_tables) + 1).cast("int"))
+    slots = bullets.sparkSession.range(count * n_tables)
     return (
-        bullets.sparkSession.range(count * n_tables)
-        .select(table.alias("t"), (F.floor(slot / F.lit(n_tables)) + 1).alias("request_no"))
+        slots.withColumn("at", (F.col("id") % n_tables + 1).cast("int"))
+        .select(
+            F.element_at(listing.scalar(), F.col("at")).alias("t"),
+            F.expr(f"id div {n_tables} + 1").alias("request_no"),
+        )
         .select(
             F.col("t.table_name").alias("table_name"),
             "request_no",

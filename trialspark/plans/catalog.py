@@ -63,7 +63,7 @@ def catalog_tables(spark: SparkSession, tables: Tables) -> DataFrame:
     """
     counted = [
         df.agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("table_name"), F.lit(len(df.columns)).alias("column_count"), "row_count"
+            F.lit(name).alias("table_name"), F.lit(len(df.columns)).cast("long").alias("column_count"), "row_count"
         )
         for name, df in sorted(tables.items())
     ]

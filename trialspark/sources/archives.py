@@ -133,7 +133,7 @@ def expand_archives(spark: SparkSession, root: str) -> DataFrame:
     )
     # An explicit number: these rows are few bytes but much work, and adaptive
     # execution would merge them into one task by size.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = 2 * spark.sparkContext.defaultParallelism
     members = todo.repartition(tasks, "archive").mapInPandas(_list_members, _MEMBER_SCHEMA)
     spread = members.repartition(tasks, "archive", "member")
     outcome = F.when(F.col("error").isNull(), "extracted").otherwise("failed")
