@@ -154,6 +154,12 @@ def test_baseline_change(spark):
     assert rows(got, "id") == [(1, 3, 0, 6, 8.0, 6.5, -1.5), (2, 1, 1, 1, 9.0, 9.0, 0.0)]
     flagged = cohorts.baseline_change(visits, "id", "visit", "a1c", "row", baseline=F.col("flag"))
     assert rows(flagged, "id")[1] == (2, 1, None, 1, None, 9.0, None)
+    assert rows(cohorts.baseline_change(visits, "id", "visit", "a1c"), "id") == rows(got, "id")
+
+
+def test_baseline_ties_follow_the_tie_break(spark):
+    visits = spark.createDataFrame([(1, 0, 2, 20.0), (1, 0, 1, 10.0), (1, 5, 3, 30.0), (1, 5, 4, 40.0)], "id int, visit int, row int, v double")
+    assert rows(cohorts.baseline_change(visits, "id", "visit", "v", "row")) == [(1, 4, 0, 5, 10.0, 40.0, 30.0)]
 
 
 def test_link_outcomes(spark):

@@ -120,6 +120,8 @@ def test_fetch_manifest(spark):
             (3, "B", "http://x/dir/", None),
             (4, "B", None, "http://x/there.pdf"),
             (5, "C", None, None),
+            (6, "D", "http://x/same.zip", "http://y/same.zip"),
+            (7, "D", "http://z/other", "http://w/same.zip"),
         ],
         "n int, protocol string, dataset_url string, document_url string",
     )
@@ -132,4 +134,25 @@ def test_fetch_manifest(spark):
         (2, "document", "data/Trial_A/dataset_link.txt", "skip_exists"),
         (3, "dataset", "data/B/downloaded_file", "download"),
         (4, "document", "data/B/there.pdf", "skip_exists"),
+        (6, "dataset", "data/D/same.zip", "download"),
+        (6, "document", "data/D/same.zip", "skip_exists"),
+        (7, "dataset", "data/D/other", "download"),
+        (7, "document", "data/D/same.zip", "skip_exists"),
     ]
+
+
+def test_fetch_manifest_with_a_hot_target(spark):
+    """A third of all requests want one file: the requests are folded before the shuffle."""
+    datasets = spark.range(3000).selectExpr(
+        "id as n",
+        "if(id % 3 = 0, 'Hot', concat('P', id)) as protocol",
+        "'http://x/one.zip' as dataset_url",
+        "cast(null as string) as document_url",
+    )
+    existing = spark.createDataFrame([("data/P1/one.zip",)], "target string")
+    manifest = fetch_manifest(datasets, "n", existing, "data")
+    counts = {r["action"]: r["count"] for r in manifest.groupBy("action").count().collect()}
+    assert counts == {"download": 1 + 2000 - 1, "skip_exists": 999 + 1}
+    assert manifest.where("action = 'download' and target like '%Hot%'").first()["n"] == 0
+    plan = manifest._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "LeftAnti" not in plan and "partial_min" in plan

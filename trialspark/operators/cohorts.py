@@ -134,30 +134,34 @@ def baseline_change(
     subject_id: str,
     visit: str,
     value: str,
-    tie_break: str,
+    tie_break: str | None = None,
     baseline: Column | None = None,
 ) -> DataFrame:
     """Per subject: value at baseline, value at the last visit, and the change.
 
     Baseline is the earliest visit that meets ``baseline`` (visit 0, or a flag;
-    default: any visit). Least and greatest visit come from one partial
-    aggregate, so no subject's visits are ever sorted in one place.
+    default: any visit). ``tie_break`` decides between rows of one visit where
+    visits repeat.
+
+    Both ends come from partial aggregates, so no subject's visits are ever
+    gathered in one place. Without a tie break they are hash aggregates; with
+    one, each task sorts its own rows first.
     """
-    stop = F.struct(F.col(visit), F.col(tie_break), F.col(value))
-    at_start = stop if baseline is None else F.when(baseline, stop)
-    ends = visits.where(F.col(visit).isNotNull()).groupBy(subject_id)
-    return ends.agg(
-        F.count(F.lit(1)).alias("n_visits"),
-        F.min(at_start).alias("first"),
-        F.max(stop).alias("last"),
-    ).select(
-        subject_id,
-        "n_visits",
-        F.col(f"first.{visit}").alias("baseline_visit"),
-        F.col(f"last.{visit}").alias("end_visit"),
-        F.col(f"first.{value}").alias("baseline"),
-        F.col(f"last.{value}").alias("end"),
-        (F.col(f"last.{value}") - F.col(f"first.{value}")).alias("change"),
+    at = F.col(visit)
+    rank = at if tie_break is None else F.struct(at, F.col(tie_break))
+    first_rank = rank if baseline is None else F.when(baseline, rank)
+    first_visit = at if baseline is None else F.when(baseline, at)
+    return (
+        visits.where(at.isNotNull())
+        .groupBy(subject_id)
+        .agg(
+            F.count(F.lit(1)).alias("n_visits"),
+            F.min(first_visit).alias("baseline_visit"),
+            F.max(at).alias("end_visit"),
+            F.min_by(value, first_rank).alias("baseline"),
+            F.max_by(value, rank).alias("end"),
+        )
+        .withColumn("change", F.col("end") - F.col("baseline"))
     )
 
 
