@@ -21,9 +21,9 @@ HEADLINE = (
     "ingest_utf16",
     "ingest_multiline",
     "load_report",
-    "archive_rows",
+    "expand_archives",
     "catalog_extract",
-    "fetch_plan",
+    "fetch_manifest",
     "sanitize_names",
     "page_rows",
     "adhoc_sql",

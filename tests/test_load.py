@@ -37,6 +37,7 @@ def test_load_folder(spark, tmp_path, store):
     (data / "Protocol.txt").write_text("id\n1\n")
     (data / "notes.md").write_text("id\n1\n")
     (data / "brackets [1].csv").write_text("id\n5\n")
+    (data / "odd columns.csv").write_text("Pt ID,c.d,x(y)=`z`\n1,2,3\n")
 
     # Spark's catalog takes letters, digits and underscores only; a folder takes any name.
     in_folder = isinstance(store, FolderStore)
@@ -50,10 +51,12 @@ def test_load_folder(spark, tmp_path, store):
         "data_dupes.csv": ("data_dupes", "loaded", 1),
         "bad.csv": ("bad", "failed", None),
         "brackets [1].csv": brackets,
+        "odd columns.csv": ("odd_columns", "loaded", 1),
     }
     for name in ("data1", "data_tab", "data_utf_16"):
         assert store.read(name).selectExpr("sum(val)").first()[0] == 30
     assert store.read("data_dupes").columns == ["numhospdka", "NumHospDKA_2", "NumHospDKA_1"]
+    assert store.read("odd_columns").columns == ["Pt ID", "c.d", "x(y)=`z`"]
     assert store.names() == sorted(t for t, status, _ in report.values() if status == "loaded")
 
     again = report_of(load_folder(spark, str(data), store))

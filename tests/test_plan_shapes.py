@@ -10,7 +10,7 @@ from trialspark.bindings import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 # Queries whose work happens while they are built (loads, archives).
-BUILT_EAGERLY = {"archive_rows", "archive_report", "load_report", "training_tables"}
+BUILT_EAGERLY = {"expand_archives", "archive_report", "load_report", "training_tables"}
 
 
 def plan(df) -> str:
@@ -84,3 +84,35 @@ def test_pages_without_catalog_stay_in_the_jvm(spark):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     text = plan(extract_datasets(pages, "page_id"))
     assert "StringContains(html,ctl00_CphMain_GridViewPublicDataSets)" in text
+
+
+def test_hot_subject_is_split_in_the_outcome_join(spark):
+    """A third of all outcomes belong to one subject: its partition is read by several tasks."""
+    from pyspark.sql import functions as F
+
+    from trialspark.operators.cohorts import link_outcomes
+
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        people = spark.range(3000).selectExpr("id as pt_id", "id % 2 as sex")
+        outcomes = spark.range(0, 300000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 3000).alias("subject"),
+            F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+        )
+        linked = link_outcomes(people, "pt_id", outcomes, "subject")
+        assert linked.agg(F.count("payload")).first()[0] == 300000
+        linked.collect()
+        assert "skew=true" in plan(linked)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)

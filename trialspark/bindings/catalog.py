@@ -147,7 +147,8 @@ def adhoc_sql(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     """SELECT to_json({'c_custkey': c_custkey, 'name': c_name, 'segment': nullif(c_mktsegment, 'BUILDING'),
-    'balance': c_acctbal})::VARCHAR AS record FROM customer"""
+    'balance': c_acctbal})::VARCHAR AS record FROM customer""",
+    name="row_records",
 )
 def row_records_json(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer").select(

@@ -111,7 +111,8 @@ def adverse_counts(spark: SparkSession, folder: str) -> DataFrame:
     f"""SELECT CASE WHEN p_size < 18 THEN 'pediatric' WHEN p_size >= 18 THEN 'adult' END AS age_cohort,
     p_type AS sex, CASE WHEN p_retailprice < 950 THEN 'normal' WHEN p_retailprice < 1000 THEN 'raised'
     ELSE 'high' END AS bmi_band, count(*) AS n, {sql_rounded('avg(p_retailprice)', 4)} AS average,
-    min(p_retailprice) AS least, max(p_retailprice) AS greatest FROM part GROUP BY ALL"""
+    min(p_retailprice) AS least, max(p_retailprice) AS greatest FROM part GROUP BY ALL""",
+    name="cohorts",
 )
 def demographic_cohorts(spark: SparkSession, folder: str) -> DataFrame:
     groups = {

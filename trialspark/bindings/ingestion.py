@@ -79,7 +79,7 @@ def ingest_comma(spark: SparkSession, folder: str) -> DataFrame:
 def ingest_utf16(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select(
         # A byte-order mark in front of the header makes each part file start with FF FE.
-        F.col("conv_id").alias("﻿conv_id"),
+        F.col("conv_id").alias("\ufeffconv_id"),
         "turn",
         "role",
         F.translate("text", "\r\n", "  ").alias("text"),
@@ -109,6 +109,7 @@ def harmonize_columns(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT 'orders.txt', 'orders', 'utf-8', '|', 'skipped', NULL
     UNION ALL SELECT 'Latin-1.csv', 'latin_1', 'utf-8', ',', 'failed', NULL
     UNION ALL SELECT '3 Sites.csv', 't_3_sites', 'utf-8', chr(9), 'loaded', (SELECT count(*) FROM supplier)
+    UNION ALL SELECT 'Subjects.txt', 'subjects', 'utf-16', '|', 'loaded', (SELECT count(*) FROM customer)
     )"""
 )
 def load_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,6 +126,9 @@ def load_report(spark: SparkSession, folder: str) -> DataFrame:
     export(texts, "Latin-1.csv", encoding="ISO-8859-1")
     export(sites, "3 Sites.csv", sep="\t")
     export(sites, "Sites Glossary.csv")
+    subjects = table(spark, folder, "customer")
+    marked = subjects.withColumnRenamed("c_custkey", "\ufeffc_custkey")
+    export(marked, "b/Subjects.txt", sep="|", encoding="UTF-16LE")
     report = load_folder(spark, f"{work}/in", FolderStore(spark, f"{work}/tables"))
     return report.select(
         F.substring_index("path", "/", -1).alias("name"), "table", "encoding", "sep", "status", "n_rows"
@@ -176,7 +180,8 @@ def table_names(spark: SparkSession, folder: str) -> DataFrame:
     SELECT page_id, kind, url, target,
         CASE WHEN n > 1 OR target IN (SELECT target FROM listing) THEN 'skip_exists'
              WHEN url LIKE 'https://doi.org/%' THEN 'save_link' ELSE 'download' END AS action
-    FROM numbered"""
+    FROM numbered""",
+    name="fetch_manifest",
 )
 def fetch_plan(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
@@ -255,7 +260,9 @@ def _write_archives(df: DataFrame, root: str) -> DataFrame:
     return df.mapInPandas(write, "n long")
 
 
-@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+    name="expand_archives",
+)
 def archive_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Archives written from a table, unpacked, and their members read back."""
     customers = table(spark, folder, "customer")

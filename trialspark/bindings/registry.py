@@ -31,13 +31,14 @@ TABLES = (
 )
 
 
-def query(oracle: str | None = None) -> Callable[[Query], Query]:
-    """Register a function as a query under its own name."""
+def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a function as a query, under its own name unless another is given."""
 
     def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
+        key = name or function.__name__
+        QUERIES[key] = function
         if oracle is not None:
-            ORACLES[function.__name__] = oracle
+            ORACLES[key] = oracle
         return function
 
     return register

@@ -8,6 +8,7 @@ a late odd value widens the column instead of failing the load.
 from __future__ import annotations
 
 import csv
+import io
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -19,8 +20,8 @@ from trialspark.operators.harmonize import unique_headers
 from trialspark.sources.discovery import literal_path
 
 UTF16_BOM = b"\xff\xfe"
-BOM = "﻿"
-REPLACEMENT = "�"
+BOM = "\ufeff"
+REPLACEMENT = "\ufffd"
 MALFORMED = "_malformed"
 # Column separator that keeps a line in one piece.
 WHOLE_LINE = "\u0001\u0002"
@@ -88,7 +89,12 @@ def sniff(spark: SparkSession, path: str, first_part: str | None = None) -> Layo
     single = re.search(rf"(?m)(?:^|{edge})'[^'\n]*'(?:{edge}|$)", sample)
     quote = "'" if single and '"' not in sample else '"'
     escape = "\\" if f"\\{quote}" in sample else quote
-    cells = next(csv.reader([first], delimiter=sep, quotechar=quote), [])
+    for line in lines[1:]:
+        if first.count(quote) % 2 == 0:
+            break
+        # A quoted column name goes on in the next line.
+        first = f"{first}\n{line}"
+    cells = next(csv.reader(io.StringIO(first), delimiter=sep, quotechar=quote), [])
     return Layout(path, "utf-16" if utf16 else "utf-8", sep, quote, escape, line_sep, tuple(cells))
 
 
