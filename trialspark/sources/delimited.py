@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,6 +29,7 @@ WHOLE_LINE = "\u0001\u0002"
 SNIFF_LINES = 20
 SAMPLE_ROWS = 1000
 PREVIEW_CHARS = 256
+NUMBER_START = re.compile(r"[-+0-9.eE:TZ /]*$")
 
 
 @dataclass(frozen=True)
@@ -103,60 +105,76 @@ def sniff(spark: SparkSession, path: str, first_part: str | None = None) -> Layo
 # Spellings of typed values. Leading zeros and a plus sign mark
 # identifiers, which stay text.
 TRUE_WORDS = ("true", "t", "yes")
-FALSE_WORDS = ("false", "f", "no")
 INTEGRAL_PATTERN = r"^(0|[1-9]\d*|-\d+)$"
-DOUBLE_PATTERN = (
-    r"^(-\d+|0|[1-9]\d*)(\.\d*)?([eE][+-]?\d+)?$|^-?\.\d+([eE][+-]?\d+)?$|^(?i:nan|-?infinity)$"
-)
-DATE_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}$"
-DATE_SLASH_PATTERN = r"^\d{4}/\d{1,2}/\d{1,2}$"
 TIMESTAMP_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
 TIMESTAMP_TZ_PATTERN = (
     r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)? ?(Z|[+-]\d{1,2}(:?\d{2})?)?)?$"
 )
+DOUBLE_PATTERN = (
+    r"^(-\d+|0|[1-9]\d*)(\.\d*)?([eE][+-]?\d+)?$|^-?\.\d+([eE][+-]?\d+)?$|^(?i:nan|-?infinity)$"
+)
+
 
-# Kinds of column and their Spark types, most specific first. Integers too long
-# for 38 digits ("digits") stay text rather than lose digits.
-KINDS: dict[str, str] = {
-    "boolean": "boolean",
-    "long": "bigint",
-    "huge": "decimal(38,0)",
-    "digits": "string",
-    "double": "double",
-    "date": "date",
-    "date_slash": "date",
-    "timestamp": "timestamp_ntz",
-    "timestamp_tz": "timestamp",
+@dataclass(frozen=True)
+class Kind:
+    """A kind of column: its Spark type, how values are spelled, whether a cast may still fail."""
+
+    spark_type: str
+    pattern: str
+    fallible: bool
+
+
+# Most specific first. Integers too long for 38 digits ("digits") stay text
+# rather than lose digits.
+KINDS: dict[str, Kind] = {
+    "boolean": Kind("boolean", r"^(?i:true|t|yes|false|f|no)$", False),
+    "long": Kind("bigint", INTEGRAL_PATTERN, True),
+    "huge": Kind("decimal(38,0)", INTEGRAL_PATTERN, True),
+    "digits": Kind("string", INTEGRAL_PATTERN, False),
+    "double": Kind("double", DOUBLE_PATTERN, False),
+    "date": Kind("date", r"^\d{4}-\d{1,2}-\d{1,2}$", True),
+    "date_slash": Kind("date", r"^\d{4}/\d{1,2}/\d{1,2}$", True),
+    "timestamp": Kind("timestamp_ntz", TIMESTAMP_PATTERN, True),
+    "timestamp_tz": Kind("timestamp", TIMESTAMP_TZ_PATTERN, True),
 }
 TEXT = "text"
 
 
+def _castable(text: Column, kind: str) -> Column:
+    value = F.trim(text)
+    return F.replace(value, F.lit("/"), F.lit("-")) if kind == "date_slash" else value
+
+
 def fits(text: Column, kind: str) -> Column:
     """True if a value can be read as a kind; null for a missing value."""
-    value = F.trim(text)
+    rule = KINDS[kind]
+    spelled = F.trim(text).rlike(rule.pattern)
+    if not rule.fallible:
+        return spelled
+    return spelled & _castable(text, kind).try_cast(rule.spark_type).isNotNull()
+
 
-    def castable(pattern: str, cast_type: str, source: Column = value) -> Column:
-        return value.rlike(pattern) & source.try_cast(cast_type).isNotNull()
-
-    match kind:
-        case "boolean":
-            return F.lower(value).isin(*TRUE_WORDS, *FALSE_WORDS)
-        case "long" | "huge":
-            return castable(INTEGRAL_PATTERN, KINDS[kind])
-        case "digits":
-            return value.rlike(INTEGRAL_PATTERN)
-        case "double":
-            return value.rlike(DOUBLE_PATTERN)
-        case "date":
-            return castable(DATE_PATTERN, "date")
-        case "date_slash":
-            return castable(DATE_SLASH_PATTERN, "date", F.replace(value, F.lit("/"), F.lit("-")))
-        case "timestamp":
-            return castable(TIMESTAMP_PATTERN, "timestamp_ntz")
-        case "timestamp_tz":
-            return castable(TIMESTAMP_TZ_PATTERN, "timestamp")
-        case _:
-            return text.isNotNull()
+def propose_kind(values: Iterable[str | None]) -> str | None:
+    """Most specific kind by the spelling of some values; None if all are missing.
+
+    A proposal may be too specific (30 February is spelled like a date), but
+    never ``text`` for values that fit a kind. A cut value that may go on as a
+    number or a time counts as missing.
+    """
+    present = [
+        value.strip(" ")
+        for value in values
+        if value is not None and not (len(value) == PREVIEW_CHARS and NUMBER_START.match(value))
+    ]
+    if not present:
+        return None
+    for name, kind in KINDS.items():
+        if all(re.search(kind.pattern, value) for value in present):
+            longest = max(len(value.lstrip("-")) for value in present)
+            if (name == "long" and longest > 19) or (name == "huge" and longest > 38):
+                continue
+            return name
+    return TEXT
 
 
 def kind_mask(text: Column) -> Column:
@@ -176,12 +194,9 @@ def typed(text: Column, kind: str) -> Column:
     """Value of a text column as its kind."""
     if kind == TEXT:
         return text
-    value = F.trim(text)
     if kind == "boolean":
-        return F.when(text.isNotNull(), F.lower(value).isin(*TRUE_WORDS))
-    if kind == "date_slash":
-        value = F.replace(value, F.lit("/"), F.lit("-"))
-    return value.cast(KINDS[kind])
+        return F.when(text.isNotNull(), F.lower(F.trim(text)).isin(*TRUE_WORDS))
+    return _castable(text, kind).cast(KINDS[kind].spark_type)
 
 
 # ------------------------------------------------------------------ the scan
@@ -255,32 +270,15 @@ def _blank_rows(spark: SparkSession, layout: Layout) -> int:
     return lines.where(value.rlike(pattern)).count()
 
 
-Masks = dict[str, int | None]
-
+def _settle_kinds(records: DataFrame, columns: list[str]) -> dict[str, str]:
+    """Kinds of columns from all their values, in one pass.
 
-def _masks(records: DataFrame, columns: list[str], by: str | None = None) -> dict[object, Masks]:
-    """Kinds that all values of a column fit, as bits; None for a column without values.
-
-    Masks are kept apart by the values of column ``by``, if given. Columns are
-    turned into rows first, so that the generated code is the same small piece
-    for every file, however wide.
+    Columns are turned into rows first, so that the generated code is the same
+    small piece for every file, however wide.
     """
-    group = F.col(by) if by else F.lit(None)
-    cells = records.select(group.alias("group"), F.posexplode(F.array(*columns)).alias("at", "value"))
-    masks = cells.groupBy("group", "at").agg(F.bit_and(kind_mask(F.col("value"))).alias("mask"))
-    found: dict[object, Masks] = {}
-    for row in masks.collect():
-        found.setdefault(row["group"], dict.fromkeys(columns))[columns[row["at"]]] = row["mask"]
-    return found
-
-
-@dataclass(frozen=True)
-class _Preview:
-    """Masks of the header line and of the first records, and a sign of quoted newlines."""
-
-    first: Masks
-    sample: Masks
-    open_quote: bool
+    cells = records.select(F.posexplode(F.array(*columns)).alias("at", "value"))
+    masks = cells.groupBy("at").agg(F.bit_and(kind_mask(F.col("value"))).alias("mask"))
+    return {columns[row["at"]]: kind_of(row["mask"]) for row in masks.collect()}
 
 
 def _open_quote(layout: Layout) -> Column:
@@ -290,35 +288,34 @@ def _open_quote(layout: Layout) -> Column:
     return quotes % 2 == 1
 
 
-def _preview(records: DataFrame, layout: Layout, columns: list[str]) -> _Preview:
-    """Look at the first records the way ``show`` does; long values are cut for it.
+@dataclass(frozen=True)
+class _Preview:
+    """Kinds proposed by the first records, and a sign of quoted newlines in them."""
 
-    A cut value can only propose a wrong kind, which the pass over all records
-    then turns down.
-    """
+    kinds: dict[str, str | None]
+    open_quote: bool
+
+
+def _preview(records: DataFrame, layout: Layout, columns: list[str]) -> _Preview:
+    """Look at the first records the way ``show`` does; long values are cut for it."""
     is_open = _open_quote(layout) if "line" in records.columns else F.lit(False)
     cut = [F.substring(F.trim(name), 1, PREVIEW_CHARS).alias(name) for name in columns]
     rows = records.select(is_open.alias("is_open"), *cut).head(SAMPLE_ROWS)
-    header = tuple(cell.strip() or None for cell in layout.first_row)
-    schema = ", ".join(["is_header boolean", *(f"{name} string" for name in columns)])
-    lines = [(True, *header), *((False, *row[1:]) for row in rows)]
-    found = _masks(records.sparkSession.createDataFrame(lines, schema), columns, by="is_header")
-    sample = found.get(False, dict.fromkeys(columns))
-    return _Preview(found[True], sample, any(row["is_open"] for row in rows))
+    kinds = {name: propose_kind(row[name] for row in rows) for name in columns}
+    return _Preview(kinds, any(row["is_open"] for row in rows))
 
 
 def _test_kinds(
-    records: DataFrame, masks: Masks, checks: list[Column]
+    records: DataFrame, proposed: dict[str, str | None], checks: list[Column]
 ) -> tuple[Row, dict[str, str], list[str]]:
     """One pass over all records that tests the kind proposed for each column.
 
     Returns the record counts, the kinds that hold, and the columns still open.
     """
-    kinds = {name: kind_of(mask) for name, mask in masks.items()}
     tests = []
-    for name, kind in kinds.items():
+    for name, kind in proposed.items():
         value = F.col(name)
-        if masks[name] is None:
+        if kind is None:
             tests.append((F.count(value) == 0).alias(name))
         elif kind != TEXT:
             tests.append(F.bool_and(fits(value, kind)).alias(name))
@@ -330,6 +327,7 @@ def _test_kinds(
         *checks,
         *tests,
     ).first()
+    kinds = {name: kind or TEXT for name, kind in proposed.items()}
     return seen, kinds, [name for name in kinds if name in seen and seen[name] is False]
 
 
@@ -351,40 +349,37 @@ def profile(spark: SparkSession, layout: Layout) -> Profile:
             F.bool_or(_open_quote(layout)).alias("open_quote"),
             F.bool_or(F.col("line").contains(REPLACEMENT)).alias("replaced"),
         ]
-        seen, kinds, open_columns = _test_kinds(records, preview.sample, line_checks)
+        seen, kinds, open_columns = _test_kinds(records, preview.kinds, line_checks)
         multi_line = bool(seen["open_quote"])
     if multi_line:
         records = _records(spark, layout, header=True, multi_line=True)
         preview = _preview(records, layout, columns)
         replaced = [F.coalesce(F.col(name).contains(REPLACEMENT), F.lit(False)) for name in columns]
         checks = [F.bool_or(reduce(Column.__or__, replaced)).alias("replaced")]
-        seen, kinds, open_columns = _test_kinds(records, preview.sample, checks)
-    first = preview.first
+        seen, kinds, open_columns = _test_kinds(records, preview.kinds, checks)
     if seen["replaced"] and layout.encoding == "utf-8":
         _require_utf8(spark, layout)
     if open_columns:
-        settled = _masks(records, open_columns)[None]
-        kinds |= {name: kind_of(mask) for name, mask in settled.items()}
-
+        kinds |= _settle_kinds(records, open_columns)
+    cells = dict(zip(columns, (cell.strip() or None for cell in layout.first_row)))
     if seen["n_rows"]:
-        header = _is_header(kinds, first)
+        header = _is_header(spark, cells, kinds)
     else:
-        header = all(kind_of(mask) == TEXT for mask in first.values())
-        kinds = {name: TEXT if header else kind_of(mask) for name, mask in first.items()}
+        masks = [kind_mask(F.lit(cell).cast("string")).alias(name) for name, cell in cells.items()]
+        first = spark.sql("SELECT 1").select(*masks).first()
+        kinds = {name: kind_of(first[name]) for name in columns}
+        header = all(kind == TEXT for kind in kinds.values())
     n_blank = 0 if multi_line else _blank_rows(spark, layout)
     return Profile(header, multi_line, tuple(kinds[c] for c in columns), seen["n_ragged"], n_blank)
 
 
-def _is_header(kinds: dict[str, str], first: Masks) -> bool:
+def _is_header(spark: SparkSession, cells: dict[str, str | None], kinds: dict[str, str]) -> bool:
     """The first row names the columns if it does not fit their kinds, or all are text."""
-    typed_columns = [name for name, kind in kinds.items() if KINDS.get(kind, "string") != "string"]
+    typed_columns = [name for name, kind in kinds.items() if kind not in (TEXT, "digits")]
     if not typed_columns:
         return True
-    order = list(KINDS)
-    return any(
-        first[name] is not None and not first[name] >> order.index(kinds[name]) & 1
-        for name in typed_columns
-    )
+    tests = [fits(F.lit(cells[name]).cast("string"), kinds[name]) for name in typed_columns]
+    return any(fit is False for fit in spark.sql("SELECT 1").select(*tests).first())
 
 
 def _require_utf8(spark: SparkSession, layout: Layout) -> None:
