@@ -11,14 +11,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.bindings.registry import query, sql_text, table
+from trialspark.bindings.registry import query, table
 from trialspark.functions.text import sanitize_name, table_name
 from trialspark.operators.harmonize import harmonize
 from trialspark.plans.fetch import fetch_manifest
 from trialspark.plans.load import load_folder
 from trialspark.plans.store import FolderStore
 from trialspark.session import new_workspace
-from trialspark.sources.archives import _resolve, expand_archives
+from trialspark.sources.archives import resolve, expand_archives
 from trialspark.sources.catalog_pages import TABLE_ID, extract_datasets
 
 # Text as other programs export it: quotes doubled, blanks and line ends kept.
@@ -241,7 +241,7 @@ def _write_archives(df: DataFrame, root: str) -> DataFrame:
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        system, path = _resolve(root)
+        system, path = resolve(root)
         system.create_dir(path, recursive=True)
         with system.open_output_stream(f"{path}/broken-{part}.zip") as sink:
             sink.write(b"no archive")

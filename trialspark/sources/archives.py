@@ -22,7 +22,7 @@ CHUNK = 1 << 20
 _MEMBER_SCHEMA = "archive string, target string, member string, n_bytes long, error string"
 
 
-def _resolve(uri: str) -> tuple[fs.FileSystem, str]:
+def resolve(uri: str) -> tuple[fs.FileSystem, str]:
     """Arrow file system and path of a URI as Spark prints it (``file:/x``, ``hdfs://..``)."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
@@ -43,7 +43,7 @@ def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows: list[tuple] = []
         for archive, target in zip(batch["archive"], batch["target"]):
-            system, path = _resolve(archive)
+            system, path = resolve(archive)
             try:
                 with system.open_input_file(path) as source, zipfile.ZipFile(source) as zipped:
                     rows += [
@@ -71,7 +71,7 @@ def _replace(system: fs.FileSystem, source: str, final: str) -> None:
 
 def _copy_member(zipped: zipfile.ZipFile, member: str, target: str) -> None:
     """Write one member through a temporary name, so a retried task leaves no half file."""
-    system, root = _resolve(_staging(target))
+    system, root = resolve(_staging(target))
     final = posixpath.join(root, _safe_member(member))
     partial = f"{final}.{uuid.uuid4().hex}.partial"
     system.create_dir(posixpath.dirname(final), recursive=True)
@@ -86,7 +86,7 @@ def _extract_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         errors: list[str | None] = list(batch["error"].where(batch["error"].notna(), None))
         todo = batch[batch["member"].notna()]
         for archive, members in todo.groupby("archive", sort=False):
-            system, path = _resolve(archive)
+            system, path = resolve(archive)
             with system.open_input_file(path) as source, zipfile.ZipFile(source) as zipped:
                 for at, member, target in zip(members.index, members["member"], members["target"]):
                     try:
@@ -143,6 +143,6 @@ def expand_archives(spark: SparkSession, root: str) -> DataFrame:
     failed = F.count_if(F.col("status") != "extracted").alias("n_failed")
     complete = report.groupBy("target").agg(failed).where("n_failed = 0").select("target")
     for row in complete.toLocalIterator():
-        system, final = _resolve(row["target"])
-        system.move(_resolve(_staging(row["target"]))[1], final)
+        system, final = resolve(row["target"])
+        system.move(resolve(_staging(row["target"]))[1], final)
     return report.select("archive", "member", "n_bytes", "status", "error")
