@@ -24,16 +24,30 @@ def from_text(
     or repeated names do no harm.
     """
     new = StructType.fromDDL(added)
-    base = docs.drop(*new.names)
-    at = base.columns.index("text")
-    names = [f"c{i}" for i in range(len(base.columns))]
-    plain = base.toDF(*names)
+    return _through(docs.drop(*new.names), new.fields, compute, part_bytes)
+
+
+def with_text(docs: DataFrame, compute: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
+    """``docs`` with its ``text`` computed anew, all other columns as they are."""
+    return _through(docs, [], lambda part: [compute(part)], SLICE_BYTES, replace=True)
+
+
+def _through(docs: DataFrame, new: list[StructField], compute, part_bytes: int, replace: bool = False):
+    at = docs.columns.index("text")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    added = [field.name for field in new]
+    out_names = [*names, *(f"new{i}" for i in range(len(new)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, names[at], part_bytes):
                 text = pa.RecordBatch.from_arrays([part.column(at)], ["text"])
-                yield pa.RecordBatch.from_arrays([*part.columns, *compute(text)], [*names, *new.names])
-
-    kept = [StructField(name, field.dataType, True) for name, field in zip(names, base.schema)]
-    return plain.mapInArrow(run, StructType([*kept, *new.fields])).toDF(*base.columns, *new.names)
+                made, columns = compute(text), list(part.columns)
+                if replace:
+                    columns[at] = made.pop()
+                yield pa.RecordBatch.from_arrays([*columns, *made], out_names)
+
+    kept = [StructField(name, field.dataType, True) for name, field in zip(names, docs.schema)]
+    fresh = [StructField(name, field.dataType, True) for name, field in zip(out_names[len(names) :], new)]
+    return plain.mapInArrow(run, StructType([*kept, *fresh])).toDF(*docs.columns, *added)

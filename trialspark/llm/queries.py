@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.llm import near_dedup, pieces, quality, suffix_dedup, toxicity
+from trialspark.llm import (
+    decontamination,
+    language,
+    line_rules,
+    near_dedup,
+    pieces,
+    pii,
+    quality,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 from trialspark.llm.hashed_linear import held_out
 
 QUERIES: dict = {}
@@ -41,12 +52,79 @@ def _scored(scored: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+RULES = [
+    url_filter.Rule("com", "/", "allow"),
+    url_filter.Rule("example.com", "/en/", "block"),
+    url_filter.Rule("www.example.com", "/en/", "allow"),
+    url_filter.Rule("net", "/es/", "block"),
+    url_filter.Rule("net", "/fr/", "block"),
+]
+
+
+@_query
+def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """The number in a page's URL is the document it shows, whose quality mark labels the URL."""
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    shown = F.expr("try_cast(regexp_extract(url, '/[a-z]+/([0-9]+)', 1) AS bigint)")
+    labels = _table(spark, folder, "labels").where("quality IS NOT NULL")
+    marks = labels.select("doc_id", (1 - F.col("quality")).alias("label"))
+    labelled = pages.join(marks, shown == F.col("doc_id")).select("url", "label")
+    return url_filter.judge(pages, url_filter.fit(labelled), RULES).select(
+        "page_id", "host", "path", "rule", "verdict", "score"
+    )
+
+
 @_query
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(labelled_texts(spark, folder, "toxic"))
     return _scored(toxicity.score(_texts(spark, folder), model), 0.5)
 
 
+@_query
+def op3_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.contamination(_texts(spark, folder), _table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+ORACLES["op3_benchmark_decontamination"] = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS size,
+    array_to_string(w[s : s + least(len(w), 13) - 1], ' ') AS window_text
+  FROM item_words, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS r(s) WHERE len(w) > 0
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), doc_windows AS (
+  SELECT doc_id, size, s, array_to_string(w[s : s + size - 1], ' ') AS window_text
+  FROM doc_words, (SELECT DISTINCT size FROM windows) AS sizes, unnest(range(1, len(w) - size + 2)) AS r(s)
+), hits AS (
+  SELECT doc_id, s, d.size AS size, item_id FROM doc_windows AS d JOIN windows AS i USING (window_text)
+), positions AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(s, s + size)) AS r(p) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items,
+    array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS written
+  FROM hits GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(written, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc_words LEFT JOIN positions USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 @_query
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffix_dedup.repeated_bytes(_texts(spark, folder))
@@ -82,3 +160,37 @@ def op10_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.with_spans(_texts(spark, folder))
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+
+    def number(kind: str):
+        return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    return found.select(
+        "doc_id",
+        *(number(kind) for kind in pii.BASE_KINDS),
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("pii")).alias("spans"),
+    )
+
+
+@_query
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    apart = held_out(parts=3, part=1)
+    profiles = language.fit(docs.where(~apart))
+    found = language.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    model = line_rules.fit(labelled_texts(spark, folder, "quality"))
+    return line_rules.judge(_texts(spark, folder), model).drop("text")
