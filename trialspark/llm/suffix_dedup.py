@@ -4,7 +4,7 @@ Of every 50-byte window the 20-byte string with the least hash is its anchor, so
 windows have equal anchors and only the suffixes that begin at anchors (about one in
 sixteen) need to be compared. No window is skipped.
 
-1. Documents are dealt by a hash of their id into cells of about 16 MB.
+1. Documents are dealt by a hash of their id into cells of about 8 MB.
 2. Cells send the distinct 64-bit hashes of their anchors to hash ranges, which answer
    with one bit each: does another document have this anchor?
 3. For shared anchors the cells send the suffix (50 bytes from the anchor on) and the
@@ -36,12 +36,12 @@ from trialspark.llm.stored import partitions_for
 WINDOW = 50
 ANCHOR = 20
 PLACES = WINDOW - ANCHOR + 1
-CELL_BYTES = 16 << 20
+CELL_BYTES = 8 << 20
 MAX_SPLITTERS = 4096
 SAMPLE_BYTES = 2 << 20
 
 _BEFORE, _AFTER = 32, 56
-_CHUNK = 1 << 20
+_CHUNK = 1 << 16
 _LOW = U64((1 << 21) - 1)
 _NEVER = np.iinfo(np.int64).max
 
@@ -78,9 +78,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
             continue
         word = _word_at_each_byte(part, len(part))
         value = word[:n_anchors] * U64(0x9E3779B97F4A7C15)
-        value ^= mix(word[8 : 8 + n_anchors])
-        value += (word[16 : 16 + n_anchors] & U64(0xFFFFFFFF)) * U64(0xC2B2AE3D27D4EB4F)
-        value = mix(value)
+        value ^= value >> U64(29)
+        value += word[8 : 8 + n_anchors] * U64(0xD6E8FEB86659FD93)
+        value *= U64(0xBF58476D1CE4E5B9)
+        value ^= value >> U64(32)
+        value += word[16 : 16 + n_anchors] << U64(32)
+        value *= U64(0x94D049BB133111EB)
+        value ^= value >> U64(29)
+        value *= U64(0xC2B2AE3D27D4EB4F)
         key = (value & ~_LOW) | np.arange(n_anchors, dtype=U64)
         width = 1
         while width * 2 <= PLACES:
@@ -97,7 +102,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     if not found:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty, np.zeros(0, U64)
-    return tuple(np.concatenate(columns) for columns in zip(*found))
+    anchor, first, last, value = (np.concatenate(columns) for columns in zip(*found))
+    # A run cut by the border of a chunk is one run: results must not depend on the order of texts.
+    new = np.ones(len(anchor), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != last[:-1] + 1)
+    opens = np.flatnonzero(new)
+    return anchor[opens], first[opens], last[np.concatenate((opens[1:], [len(anchor)])) - 1], value[opens]
 
 
 def sorted_order(columns: list[np.ndarray]) -> np.ndarray:
