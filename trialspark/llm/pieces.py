@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 from pathlib import Path
 
 import ahocorasick
@@ -30,9 +29,9 @@ from sentencepiece import sentencepiece_model_pb2
 from trialspark.llm.arrays import slices
 
 MARK = "▁"
-MAX_REMEMBERED = 400_000
+MAX_REMEMBERED = 250_000
 MAX_REMEMBERED_LENGTH = 48
-MAX_PAIRS = 1_000_000
+MAX_PAIRS = 500_000
 
 # Kinds of pieces in a model file.
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -74,9 +73,15 @@ class Vocabulary:
             raise ValueError("a piece has a space mark inside")
         return found
 
-    @cached_property
-    def coder(self) -> Coder:
-        return Coder(self)
+
+_coders: list[tuple[list[str], Coder]] = []
+
+
+def coder_of(vocabulary: Vocabulary) -> Coder:
+    """Coder of a vocabulary; a process keeps the last one alone, with what it remembers."""
+    if not _coders or _coders[0][0] != vocabulary.pieces:
+        _coders[:] = [(vocabulary.pieces, Coder(vocabulary))]
+    return _coders[0][1]
 
 
 class Coder:
@@ -264,7 +269,7 @@ def tokenize(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = shared.value.coder
+        coder = coder_of(shared.value)
         for batch in batches:
             for part in slices(batch, "text"):
                 packed = [coder.encode_packed(text or "") for text in part.column("text").to_pylist()]
