@@ -19,7 +19,7 @@ SIZES = (1, 2, 3)
 MAX_ROWS_PER_LANGUAGE = 4_000
 MAX_LANGUAGES = 2_000
 UNDETERMINED = "und"
-_PART_BYTES = 1 << 20
+_PART_BYTES = 1 << 19
 
 
 @functools.cache

@@ -18,7 +18,7 @@ from trialspark.llm.stored import stored
 SIZES = (4, 5)
 MARGIN = 2.5
 SETTINGS = Settings(n_buckets=1 << 20, l1=0.01)
-_PART_BYTES = 2 << 20
+_PART_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
