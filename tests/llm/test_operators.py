@@ -1,0 +1,344 @@
+"""The text-corpus operators against brute force, on odd texts, repeated rows and empty tables."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from trialspark.llm import (
+    decontamination,
+    language,
+    line_rules,
+    near_dedup,
+    pieces,
+    pii,
+    quality,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
+from trialspark.llm.components import connected_components
+from trialspark.llm.hashed_linear import Settings
+from trialspark.llm.queries import ORACLES, QUERIES, RULES
+
+FOLDER = "/root/testdata/sf0.001"
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(20_000))
+BASE = " ".join(f"word{i}" for i in range(120))
+TEXTS = [
+    (1, BASE),
+    (2, BASE.replace("word60", "other")),
+    (3, BASE),
+    (4, None),
+    (5, ""),
+    (6, " \t\n "),
+    (7, LONG),
+    (8, "One Two three"),
+    (9, "one two THREE"),
+    (9, "one two THREE"),
+    (10, "Écoute é ß 😀 " * 9),
+    (None, BASE),
+]
+SCHEMA = "doc_id long, text string"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(TEXTS, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates_by_brute_force(docs):
+    sets = {i: shingles(t) for i, t in TEXTS if i is not None}
+    found = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs).collect()}
+    for i, own in sets.items():
+        linked = [j for j, other in sets.items() if own and 100 * len(own & other) >= 85 * len(own | other)]
+        assert found[i]["n_shingles"] == len(own)
+        assert found[i]["component_id"] == min([i, *linked])
+        assert found[i]["kept"] == (found[i]["component_id"] == i)
+    assert found[None]["kept"] and found[None]["component_id"] is None
+
+
+def test_one_row_of_each_component_stays(docs, empty):
+    left = near_dedup.without_near_duplicates(docs.withColumn("kept", F.lit(1)))
+    assert left.columns == ["doc_id", "text", "kept"]
+    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 4, 5, 6, 7, 8, 10]
+    assert near_dedup.near_duplicates(empty).count() == 0
+
+
+def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET_CHUNK", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCUMENTS", 4)
+    rows = [(i, BASE.replace(f"word{i} ", f"new{i} ")) for i in range(30)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["component_id"] for r in found} == {0}
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 80), (80, 80)], "a long, b long")
+    found = dict(connected_components(edges).collect())
+    assert found == {i: 0 for i in range(41)} | {80: 80, 90: 80}
+
+
+def repeated(rows):
+    seen, out = {}, {}
+    for i, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        data = (text or "").encode()
+        windows = [data[p : p + 50] for p in range(len(data) - 49)]
+        gone = bytearray(len(data))
+        for p, window in enumerate(windows):
+            if seen.get(window, i) < i:
+                gone[p : p + 50] = b"\1" * 50
+        for window in windows:
+            seen.setdefault(window, i)
+        kept = bytes(c for c, g in zip(data, gone) if not g)
+        out[i] = (len(data), sum(gone), hashlib.sha256(kept).hexdigest(), kept)
+    return out
+
+
+def test_repeated_bytes_by_brute_force(docs, empty):
+    expected = repeated(TEXTS)
+    for row in suffix_dedup.repeated_bytes(docs, with_kept=True).collect():
+        if row["doc_id"] is None:
+            assert row["spans"] == []
+            continue
+        n_bytes, n_gone, digest, kept = expected[row["doc_id"]]
+        assert (row["n_bytes"], row["kept_sha256"], bytes(row["kept"])) == (n_bytes, digest, kept)
+        assert sum(s["end"] - s["start"] for s in row["spans"]) == n_gone
+    assert suffix_dedup.repeated_bytes(empty).count() == 0
+
+
+def test_multikey_order_is_lexicographic():
+    random = np.random.default_rng(1)
+    columns = [random.integers(0, 3, 500, dtype=np.uint64) for _ in range(4)]
+    order = suffix_dedup.sorted_order(columns)
+    rows = list(zip(*(c[order].tolist() for c in columns)))
+    assert rows == sorted(rows)
+
+
+def test_pieces_equal_the_library(docs, empty):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    vocabulary = pieces.Vocabulary.load(MODEL)
+    coder = pieces.Coder(vocabulary)
+    odd = ["  a  b", "a\n\n b", "▁x ▁", " " * 40, "a" * 3000, "\x00é<0x0A>", "the\tend "]
+    for text in odd + [t or "" for _, t in TEXTS]:
+        ids = library.encode(text, add_bos=True, add_eos=True)
+        assert np.frombuffer(coder.encode_packed(text), "<u4").tolist() == ids
+        assert coder.decode(ids) == library.decode(ids)
+    for ids in ([216, 1, 191], [0, 5, 300], [], [2, 1]):
+        assert coder.decode(ids) == library.decode(ids)
+    row = pieces.tokenize(docs, vocabulary).withColumn("unpacked", pieces.unpacked()).where("doc_id = 8").first()
+    assert row["unpacked"] == library.encode("One Two three", add_bos=True, add_eos=True)
+    assert row["decoded"] == "One Two three"
+    assert pieces.tokenize(empty, vocabulary).count() == 0
+
+
+ITEMS = [(1, BASE), (2, "Two, three"), (3, None), (4, "..."), (20, "two three")]
+
+
+def test_decontamination_in_shards(spark, docs, monkeypatch):
+    benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
+    columns = ["doc_id", "n_words", "n_hit", "items", "contaminated"]
+    whole = decontamination.contamination(docs, benchmark).select(columns).collect()
+    found = {r["doc_id"]: r for r in whole}
+    assert (found[1]["n_words"], found[1]["n_hit"], found[1]["items"]) == (120, 120, ["1"])
+    assert found[2]["n_hit"] == 119 and found[2]["contaminated"]
+    assert found[8]["items"] == ["2", "20"] and found[8]["n_hit"] == 2
+    assert found[4]["n_words"] == 0 and not found[4]["contaminated"]
+    assert len(whole) == len(TEXTS)
+    monkeypatch.setattr(decontamination, "SHARD_WINDOWS", 40)
+    split = decontamination.contamination(docs, benchmark).select(columns).collect()
+    assert sorted(map(str, split)) == sorted(map(str, whole))
+    left = decontamination.without_contaminated(docs, benchmark).select("doc_id").collect()
+    assert sorted(r[0] for r in left) == [4, 5, 6, 7, 10]
+    cut = {r["doc_id"]: r["text"] for r in decontamination.without_hit_words(docs, benchmark).collect()}
+    assert cut[8] == "One " and cut[2] == "other " and cut[4] is None
+    none = decontamination.contamination(docs, benchmark.limit(0))
+    assert none.agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_pii_spans():
+    card, iban = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+    text = f"é a.b@c.de 10.0.0.256 10.0.0.1 x {card} y 4111111111111112 z +1 (988) 555-2485 u {iban} account 12345678"
+    spans = [(pii.KINDS[s.kind], text[s.start : s.end]) for s in pii.find_spans(text)]
+    assert spans == [
+        ("email", "a.b@c.de"),
+        ("ip", "10.0.0.1"),
+        ("card", card),
+        ("phone", "+1 (988) 555-2485"),
+        ("iban", iban),
+        ("account", "12345678"),
+    ]
+    assert pii.find_spans("order 12345678 a@b.c@d.e") == [pii.Span(15, 0, 20, 1.0)]
+    assert pii.find_spans("1" * 30_000 + "@" + "." * 30_000) == []
+    assert pii.mask(f"x {card}.") == "x <card>." and pii.mask(None) is None
+
+
+def test_pii_keeps_rows_and_columns(docs):
+    wide = docs.withColumn("pii", F.lit(1)).withColumn("a.b", F.lit("x"))
+    assert pii.with_spans(wide).count() == len(TEXTS)
+    clean = pii.masked(wide)
+    assert clean.columns == ["doc_id", "text", "pii", "a.b"]
+    assert {r["text"] for r in clean.where("doc_id IN (4, 5)").collect()} == {None, ""}
+
+
+def test_languages(spark, docs, empty):
+    rows = [(i, t, lang) for i in range(8) for t, lang in (("the cat and the hat", "en"), ("der hund und das haus", "de"))]
+    profiles = language.fit(spark.createDataFrame([*rows, (9, "x", None)], "doc_id long, text string, lang string"))
+    asked = spark.createDataFrame([(1, "the hat"), (2, "das haus"), (3, None), (4, "12 !")], SCHEMA)
+    found = {r["doc_id"]: r for r in language.identify(asked, profiles).collect()}
+    assert [found[i]["lang_pred"] for i in (1, 2, 3, 4)] == ["en", "de", "und", "und"]
+    assert language.identify(docs, profiles).count() == len(TEXTS)
+    no_profiles = language.fit(empty.withColumn("lang", F.lit("en")))
+    assert {r["lang_pred"] for r in language.identify(docs, no_profiles).collect()} == {"und"}
+
+
+def test_line_counts_by_brute_force(spark, docs, empty):
+    labelled = spark.createDataFrame([(1, BASE, 1), (2, "a | b\na | b\na | b", 0)], SCHEMA + ", label int")
+    model = line_rules.fit(labelled)
+    rows = [*TEXTS, (20, "a b\n\na b\n# x\na b\n"), (21, "one two three four five six seven eight " * 4)]
+    for row in line_rules.judge(spark.createDataFrame(rows, SCHEMA), model).collect():
+        text = row["text"] or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [line for line in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", line)]
+        runs = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        inside = {p for i, run in enumerate(runs) if runs.count(run) > 1 for p in range(i, i + 8)} if len(runs) < 500 else None
+        assert row["n_words"] == len(words) and row["word_chars"] == sum(map(len, words))
+        assert row["n_dup_lines"] == len(lines) - len(set(lines))
+        assert row["n_symbols"] == sum(text.count(s) for s in line_rules.SYMBOLS)
+        if inside is not None:
+            assert row["n_repeat_words"] == len(inside)
+        assert not (row["base_failed"] and row["kept"])
+    blank_model = line_rules.fit(empty.withColumn("label", F.lit(1)))
+    assert line_rules.judge(empty, blank_model).count() == 0
+
+
+def test_viterbi_and_gradient_by_enumeration():
+    import itertools
+
+    random = np.random.default_rng(2)
+    scores, move = random.normal(size=(5, 2)), random.normal(size=(2, 2))
+    step, text = np.array([0, 1, 2, 0, 1]), np.array([0, 0, 0, 1, 1])
+
+    def value(path):
+        moves = sum(move[path[i - 1], path[i]] for i in range(1, 5) if step[i])
+        return moves + sum(scores[i, label] for i, label in enumerate(path))
+
+    paths = list(itertools.product((0, 1), repeat=5))
+    assert line_rules.viterbi(scores, move, step, text, 2).tolist() == list(max(paths, key=value))
+    truth = np.array([0, 1, 1, 0, 0])
+    places = np.arange(5)[:, None]
+    by_feature, by_move = line_rules.gradient(places, truth, step, text, 2, scores, move)
+    chance = np.exp([value(p) for p in paths])
+    chance /= chance.sum()
+    for i in range(5):
+        expected = sum(c for c, p in zip(chance, paths) if p[i] == 1)
+        assert by_feature[i, 1] == pytest.approx((truth[i] == 1) - expected)
+    moves = sum(c * sum(1 for i in (1, 2, 4) if (p[i - 1], p[i]) == (0, 0)) for c, p in zip(chance, paths))
+    assert by_move[0, 0] == pytest.approx(1 - moves)
+
+
+def test_classifiers_learn_and_take_odd_rows(spark, docs, empty):
+    bad = "utter moron you pathetic loser !! "
+    rows = [(i, (bad if i % 2 else "a calm and kind word ") * 3 + f"n{i}", i % 2) for i in range(80)]
+    labelled = spark.createDataFrame(rows, SCHEMA + ", label int")
+    asked = docs.union(spark.createDataFrame([(50, "what a moron, pathetic"), (51, "a kind word")], SCHEMA))
+    wide = asked.withColumn("score", F.lit("old")).withColumn("c0", F.lit(1))
+    model = toxicity.fit(labelled)
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(wide, model).collect()}
+    assert found[50] > 0.5 > found[51] and 0 <= found[4] <= 1
+    weights = quality.fit(labelled)
+    scored = {r["doc_id"]: r["score"] for r in quality.score(wide, weights).collect()}
+    assert scored[50] > scored[51] and 0 <= scored[5] <= 1
+    nothing = empty.withColumn("label", F.lit(1))
+    assert not quality.fit(nothing).any()
+    assert {r["score"] for r in quality.score(docs, quality.fit(nothing, Settings(16))).collect()} == {0.5}
+    assert {r["score"] for r in toxicity.score(docs, toxicity.fit(nothing)).collect()} == {0.5}
+
+
+URLS = [
+    ("http://Sub.EXAMPLE.com/en/x?q=1", "sub.example.com", "/en/x", "example.com/en/", "block"),
+    ("https://www.example.com/en/", "www.example.com", "/en/", "www.example.com/en/", "allow"),
+    ("https://example.com", "example.com", "", None, None),
+    ("http://a.net/fr/1#t", "a.net", "/fr/1", "net/fr/", "block"),
+    ("http://example.community/en/", "example.community", "/en/", None, None),
+    ("no scheme/en/", "", "", None, None),
+    (None, "", "", None, None),
+]
+
+
+def test_url_rules_and_trees(spark):
+    train = [(f"http://spam-{i}.biz/{i}/{i}?a={i}&b=2", 1) for i in range(60)]
+    train += [(f"http://site{i}.org/page", 0) for i in range(60)]
+    model = url_filter.fit(spark.createDataFrame(train, "url string, label int"))
+    rows = [(u[0], "x") for u in URLS] + [("http://spam-7.biz/1/2?a=1&b=2", "x"), ("http://site3.org/page", "x")]
+    urls = spark.createDataFrame(rows, "url string, host string")
+    found = {r["url"]: r for r in url_filter.judge(urls, model, RULES).collect()}
+    for url, host, path, rule, verdict in URLS:
+        row = found[url]
+        assert (row["host"], row["path"], row["rule"]) == (host, path, rule)
+        assert verdict is None or row["verdict"] == verdict
+    assert found[rows[-2][0]]["verdict"] == "block" and found[rows[-1][0]]["verdict"] == "allow"
+    none = url_filter.fit(spark.createDataFrame([], "url string, label int"))
+    assert url_filter.judge(urls, none, []).count() == len(rows)
+
+
+def test_native_plans_have_no_python(spark):
+    for name in ("op1_url_filters", "op3_benchmark_decontamination"):
+        plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
+
+
+def test_queries_return_every_row(spark):
+    n = {t: spark.read.parquet(f"{FOLDER}/{t}.parquet").count() for t in ("documents", "pages")}
+    for name, query in QUERIES.items():
+        assert query(spark, FOLDER).count() == n["pages" if name.startswith("op1_") else "documents"]
+
+
+def test_queries_match_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
+    for name, sql in ORACLES.items():
+        result = con.execute(sql)
+        columns = [c[0] for c in result.description]
+        ours = sorted(tuple(r[c] for c in columns) for r in QUERIES[name](spark, FOLDER).collect())
+        assert ours == sorted(result.fetchall())
+
+
+def test_held_out_accuracy(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    for name, label in (("op2_toxicity", "toxic"), ("op5_quality_classifier", "quality")):
+        scored = QUERIES[name](spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out")
+        right = scored.agg(F.avg((F.col("predicted") == F.col(label)).cast("int"))).first()[0]
+        assert right >= 0.9
+
+
+def test_pipeline_stages(spark):
+    documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    docs = documents
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER)
+        assert docs.columns == documents.columns, name
+    last = corpus_pipeline.run(spark, FOLDER)
+    assert 0 < last.count() <= documents.count()
+    assert last.select("doc_id").distinct().count() == last.count()

@@ -289,7 +289,7 @@ def tokenize(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def unpacked(ids: str = "ids") -> F.Column:
     """Array of integers from packed ids."""
-    steps = F.sequence(F.lit(0), F.length(ids) / 4 - 1).cast("array<int>")
+    steps = F.sequence(F.lit(0), F.floor(F.length(ids) / 4).cast("int") - 1)
     hexed = F.hex(ids)
 
     def one(k):
