@@ -205,3 +205,17 @@ def test_row_records(spark):
     assert record == {"id": 1, "name": None, "day": "2020-01-02", "a.b": 1.5}
     doubled = spark.sql("SELECT 1 AS a, 'x' AS b, 2 AS a")
     assert json.loads(paging.row_records(doubled).first()[0]) == {"a": 2, "b": "x"}
+
+
+def test_sql_refuses_java_calls_and_file_tables(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    for call in ("java_method", "`reflect`", "Try_Reflect /* x */ "):
+        with pytest.raises(NotReadOnly):
+            run_sql(spark, f"SELECT {call}('java.lang.System', 'getProperty', 'x')")
+    with pytest.raises(AnalysisException):
+        run_sql(spark, f"SELECT * FROM parquet.`{path}`")
+    assert run_sql(spark, "SELECT 'reflect(' AS x").first()["x"] == "reflect("
+    assert spark.sql(f"SELECT * FROM parquet.`{path}`").count() == 3

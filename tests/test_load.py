@@ -117,3 +117,14 @@ def test_discovery_groups_part_files(spark, tmp_path):
     (tmp_path / "in" / "part-of.csv").write_text("id\n1\n")
     rows = {r["name"]: r["n_parts"] for r in discover_files(spark, data).collect()}
     assert rows == {"big.csv": 3, "part-of.csv": 1}
+
+
+def test_half_written_table_is_written_anew(spark, tmp_path):
+    import os
+
+    store = FolderStore(spark, str(tmp_path / "store"))
+    store.create("visits", spark.range(3).toDF("n"))
+    os.remove(tmp_path / "store" / "visits" / "_SUCCESS")
+    assert not store.exists("visits")
+    store.create("visits", spark.range(100).toDF("n"))
+    assert store.exists("visits") and store.read("visits").count() == 100

@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 _METADATA = re.compile(r"(?is)^(?:show|describe|desc|explain)\b")
 _LEADING = re.compile(r"(?s)^(?:\s+|--[^\n]*(?:\n|$)|/\*.*?\*/)+")
 _TRAILING = re.compile(r"(?s);(?:\s+|;|--[^\n]*(?:\n|$)|/\*.*?\*/)*$")
+# Functions that call arbitrary Java methods, in any quoting, outside of texts and comments.
+_REFLECTIVE = re.compile(r"(?i)\b(?:reflect|try_reflect|java_method)\s*\(")
+_TEXTS = re.compile(r"""(?s)'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|--[^\n]*|/\*.*?\*/""")
+_ON_FILES = "spark.sql.runSQLOnFiles"
 
 
 class NotReadOnly(ValueError):
@@ -23,14 +27,21 @@ def run_sql(spark: SparkSession, text: str) -> DataFrame:
     A query runs as a common table expression inside ``SELECT * FROM (..)``:
     Spark's grammar admits no INSERT, DDL, SET or second statement there, so the
     parser itself refuses everything that writes, including ``WITH .. INSERT``.
-    SHOW, DESCRIBE and EXPLAIN run as they are.
+    SHOW, DESCRIBE and EXPLAIN run as they are. Calls of Java methods and tables named
+    by a file path are refused.
     """
     body = _TRAILING.sub("", _LEADING.sub("", text)).strip()
     if not body:
         raise NotReadOnly("empty statement")
-    if _METADATA.match(body):
-        return spark.sql(body)
+    if _REFLECTIVE.search(_TEXTS.sub(" ", body).replace("`", "")):
+        raise NotReadOnly("calls of Java methods are refused")
+    before = spark.conf.get(_ON_FILES, "true")
+    spark.conf.set(_ON_FILES, "false")
     try:
+        if _METADATA.match(body):
+            return spark.sql(body)
         return spark.sql(f"SELECT * FROM (WITH read_only AS (\n{body}\n) SELECT * FROM read_only)")
     except ParseException as error:
         raise NotReadOnly(f"not a single read-only query: {error}") from error
+    finally:
+        spark.conf.set(_ON_FILES, before)

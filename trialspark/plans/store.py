@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +53,10 @@ class CatalogStore:
 
 
 class FolderStore:
-    """Parquet tables below one folder, ``<root>/<table>``."""
+    """Parquet tables below one folder, ``<root>/<table>``.
+
+    A table is complete with its ``_SUCCESS`` marker; without it ``create`` writes it anew.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
@@ -64,12 +66,9 @@ class FolderStore:
         return f"{self.root}/{name}"
 
     def exists(self, name: str) -> bool:
-        try:
-            self.read(name)
-        except AnalysisException:
-            # No folder, or a folder that an interrupted write left without data.
-            return False
-        return True
+        # The marker comes last, when a write commits: what an interrupted write left is no table.
+        marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(name)}/_SUCCESS")
+        return marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(marker)
 
     def names(self) -> list[str]:
         files = (

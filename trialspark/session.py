@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,12 +31,16 @@ def local_session(cores: int | str = 8, app_name: str = "trialspark", **conf: st
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names for checkpoints.
 
-    Only a session without that setting (a local test) gets a temporary folder,
-    which then also becomes its checkpoint folder.
+    Only a local session without that setting (a test) gets a temporary folder, which
+    then also becomes its checkpoint folder. A cluster without it is refused, as its
+    executors would each write to their own disks.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on {master}")
     root = tempfile.mkdtemp(prefix="trialspark-")
     spark.sparkContext.setCheckpointDir(root)
     return root
