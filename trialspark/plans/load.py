@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from trialspark.operators.harmonize import DEFAULT_SYNONYMS, harmonize
 from trialspark.plans.store import TableStore
-from trialspark.sources.delimited import Profile, profile, scan, sniff
+from trialspark.sources.delimited import profile, scan, sniff
 from trialspark.sources.discovery import discover_files
 
 REPORT_SCHEMA = (
@@ -60,8 +60,8 @@ def _load_file(
         layout = sniff(spark, path, file["first_part"])
         if store.exists(table):
             return (path, table, layout.encoding, layout.sep, "skipped", None, None, None)
-        found = profile(spark, layout) if layout.width else Profile(True, False, (), 0, 0)
-        store.create(table, harmonize(scan(spark, layout, found), synonyms))
+        found = profile(spark, layout)
+        store.create(table, harmonize(scan(spark, found), synonyms))
         # Counting a stored parquet table reads file footers only.
         n_rows = store.read(table).count()
     except Exception as error:  # noqa: BLE001 - one bad file must not stop the others

@@ -1,8 +1,8 @@
 """Typed scan of delimited text whose layout, encoding and types are unknown.
 
-The layout comes from the first lines. Types come from one distributed pass over
-the whole file that folds every value into a bit mask of the types it fits, so
-a late odd value widens the column instead of failing the load.
+The first lines propose the layout and the column types. One distributed pass over
+the whole file tests both, so a late odd value widens its column instead of failing
+the load, and a late quote decides how quotes are written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import csv
 import io
 import re
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -42,6 +42,7 @@ class Layout:
     quote: str
     escape: str
     line_sep: str | None
+    head: str
     first_row: tuple[str, ...]
 
     @property
@@ -51,8 +52,9 @@ class Layout:
 
 @dataclass(frozen=True)
 class Profile:
-    """What one pass over the data rows tells about a file."""
+    """What one pass over the data rows tells about a file; ``layout`` is the tested one."""
 
+    layout: Layout
     header: bool
     multi_line: bool
     kinds: tuple[str, ...]
@@ -77,7 +79,7 @@ def sniff(spark: SparkSession, path: str, first_part: str | None = None) -> Layo
 
     raw = head()
     if not raw:
-        return Layout(path, "utf-8", ",", '"', '"', None, ())
+        return Layout(path, "utf-8", ",", '"', '"', None, "", ())
     utf16 = raw[0][:2] == UTF16_BOM
     line_sep = None
     if utf16:
@@ -87,8 +89,7 @@ def sniff(spark: SparkSession, path: str, first_part: str | None = None) -> Layo
     first = lines[0].rstrip("\r\n")
     sep = next((mark for mark in ("|", "\t") if mark in first), ",")
     sample = "\n".join(lines)
-    edge = re.escape(sep)
-    single = re.search(rf"(?m)(?:^|{edge})'[^'\n]*'(?:{edge}|$)", sample)
+    single = _in_single_quotes(sample, sep)
     quote = "'" if single and '"' not in sample else '"'
     escape = "\\" if f"\\{quote}" in sample else quote
     for line in lines[1:]:
@@ -96,8 +97,56 @@ def sniff(spark: SparkSession, path: str, first_part: str | None = None) -> Layo
             break
         # A quoted column name goes on in the next line.
         first = f"{first}\n{line}"
-    cells = next(csv.reader(io.StringIO(first), delimiter=sep, quotechar=quote), [])
-    return Layout(path, "utf-16" if utf16 else "utf-8", sep, quote, escape, line_sep, tuple(cells))
+    encoding = "utf-16" if utf16 else "utf-8"
+    return Layout(path, encoding, sep, quote, escape, line_sep, first, _cells(first, sep, quote))
+
+
+def _cells(head: str, sep: str, quote: str) -> tuple[str, ...]:
+    return tuple(next(csv.reader(io.StringIO(head), delimiter=sep, quotechar=quote), []))
+
+
+# ------------------------------------------------------------------- quoting
+
+
+def _in_single_quotes(text: str, sep: str) -> bool:
+    """Whether a field of some line stands in single quotes."""
+    edge = re.escape(sep)
+    return re.search(rf"(?m)(?:^|{edge})'[^'\n]*'(?:{edge}|$)", text) is not None
+
+
+def _quote_counts(sep: str) -> list[Column]:
+    """Counts of lines that tell how quotes are written, for one pass over the whole file.
+
+    A quote after a backslash that neither ends a field nor doubles is an escaped one; a
+    doubled quote that is no empty field is the other way. Lines with fields that open and
+    end with single quotes speak for these, unless the line holds an odd number of them.
+    """
+    line, edge = F.col("line"), re.escape(sep)
+    counts = [F.count_if(line.contains('"')).alias("n_plain")]
+    for name, mark in (("double", '"'), ("single", "'")):
+        escaped = rf"\\{mark}([^{mark}{edge}\r]|{mark}({edge}|\r?$))"
+        doubled = rf"[^{mark}{edge}\\]{mark}{mark}|{mark}{mark}[^{mark}{edge}\r]"
+        counts.append(F.count_if(line.rlike(escaped)).alias(f"n_escaped_{name}"))
+        counts.append(F.count_if(line.rlike(doubled)).alias(f"n_doubled_{name}"))
+    opens, ends = line.rlike(rf"(^|{edge})'"), line.rlike(rf"'({edge}|\r?$)")
+    odd = _count_of(line, "'") % 2 == 1
+    counts.append(F.count_if(opens & ends & ~odd).alias("n_closed"))
+    counts.append(F.count_if(opens & odd).alias("n_open"))
+    return counts
+
+
+def _count_of(line: Column, mark: str) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit("")))
+
+
+def _settled(layout: Layout, seen: Row) -> Layout:
+    """Layout with the quote and escape that all lines speak for."""
+    n_plain = seen["n_plain"] + ('"' in layout.head)
+    n_closed = seen["n_closed"] + _in_single_quotes(layout.head, layout.sep)
+    single = not n_plain and n_closed > seen["n_open"]
+    quote, name = ("'", "single") if single else ('"', "double")
+    escape = "\\" if seen[f"n_escaped_{name}"] > seen[f"n_doubled_{name}"] else quote
+    return replace(layout, quote=quote, escape=escape, first_row=_cells(layout.head, layout.sep, quote))
 
 
 # ---------------------------------------------------------------- value kinds
@@ -284,8 +333,10 @@ def _settle_kinds(records: DataFrame, columns: list[str]) -> dict[str, str]:
 def _open_quote(layout: Layout) -> Column:
     """True for a line that ends inside a quoted field (or holds a stray quote)."""
     line = F.col("line")
-    quotes = F.length(line) - F.length(F.replace(line, F.lit(layout.quote), F.lit("")))
-    return quotes % 2 == 1
+    if layout.escape != layout.quote:
+        for escaped in (layout.escape, layout.quote):
+            line = F.replace(line, F.lit(layout.escape + escaped), F.lit(""))
+    return _count_of(line, layout.quote) % 2 == 1
 
 
 @dataclass(frozen=True)
@@ -331,25 +382,36 @@ def _test_kinds(
     return seen, kinds, [name for name in kinds if name in seen and seen[name] is False]
 
 
-def profile(spark: SparkSession, layout: Layout) -> Profile:
+def profile(spark: SparkSession, layout: Layout, settled: bool = False) -> Profile:
     """Column kinds, header, ragged and quoted-newline records of a whole file.
 
     The first records propose the most specific kind of each column, so that the
     pass over the whole file has one kind per column to test, and nothing to
     test in text columns. Columns that fail are profiled in full by one more
     pass. The outcome is that of a full profile: what all records fit, the first
-    ones fit as well.
+    ones fit as well. The same pass counts how quotes are written; where that
+    refutes the layout the file is profiled again with the right one (``settled``
+    says that it has been).
     """
+    if not layout.width:
+        return Profile(layout, True, False, (), 0, 0)
     columns = [_field(i) for i in range(layout.width)]
     records = _records(spark, layout, header=True, multi_line=False)
     preview = _preview(records, layout, columns)
     multi_line = preview.open_quote
+    quote_counts = [] if settled else _quote_counts(layout.sep)
+    if multi_line and not settled:
+        found = _settled(layout, _lines(spark, layout, header=False).agg(*quote_counts).first())
+        return profile(spark, found, settled=True)
     if not multi_line:
         line_checks = [
             F.bool_or(_open_quote(layout)).alias("open_quote"),
             F.bool_or(F.col("line").contains(REPLACEMENT)).alias("replaced"),
         ]
-        seen, kinds, open_columns = _test_kinds(records, preview.kinds, line_checks)
+        seen, kinds, open_columns = _test_kinds(records, preview.kinds, [*line_checks, *quote_counts])
+        found = layout if settled else _settled(layout, seen)
+        if found != layout:
+            return profile(spark, found, settled=True)
         multi_line = bool(seen["open_quote"])
     if multi_line:
         records = _records(spark, layout, header=True, multi_line=True)
@@ -370,7 +432,7 @@ def profile(spark: SparkSession, layout: Layout) -> Profile:
         kinds = {name: kind_of(first[name]) for name in columns}
         header = all(kind == TEXT for kind in kinds.values())
     n_blank = 0 if multi_line else _blank_rows(spark, layout)
-    return Profile(header, multi_line, tuple(kinds[c] for c in columns), seen["n_ragged"], n_blank)
+    return Profile(layout, header, multi_line, tuple(kinds[c] for c in columns), seen["n_ragged"], n_blank)
 
 
 def _is_header(spark: SparkSession, cells: dict[str, str | None], kinds: dict[str, str]) -> bool:
@@ -390,8 +452,9 @@ def _require_utf8(spark: SparkSession, layout: Layout) -> None:
         raise UndecodableText("invalid unicode: the file is not UTF-8")
 
 
-def scan(spark: SparkSession, layout: Layout, found: Profile) -> DataFrame:
+def scan(spark: SparkSession, found: Profile) -> DataFrame:
     """Typed DataFrame of a sniffed and profiled file, columns in file order."""
+    layout = found.layout
     if layout.width == 0:
         return spark.createDataFrame([], "column0 string")
     names = (
@@ -414,7 +477,4 @@ def scan(spark: SparkSession, layout: Layout, found: Profile) -> DataFrame:
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """Sniff, profile and scan one file (or one folder of part files)."""
-    layout = sniff(spark, path)
-    if layout.width == 0:
-        return scan(spark, layout, Profile(True, False, (), 0, 0))
-    return scan(spark, layout, profile(spark, layout))
+    return scan(spark, profile(spark, sniff(spark, path)))
