@@ -150,7 +150,10 @@ def test_unknown_column_is_sparks_own_error(spark, users_view):
 def test_paging(spark):
     df = spark.range(60).select((59 - F.col("id")).alias("id"), F.lit("x").alias("name"))
     assert [r["id"] for r in paging.page(df, ["id"], 25, 50).collect()] == list(range(50, 60))
-    assert paging.page(spark.range(3000).toDF("id"), ["id"], limit=5000).count() == 1000
+    many = spark.range(3000).toDF("id")
+    with pytest.raises(ValueError, match="at most 1000"):
+        paging.page(many, ["id"], limit=1001)
+    assert paging.page(many, ["id"], limit=1500, max_size=2000).count() == 1500
     assert paging.page(df, ["id"]).count() == 25
     for limit, offset in ((-1, 0), (1, -1)):
         with pytest.raises(ValueError):
@@ -170,12 +173,33 @@ def test_nulls_come_last(spark):
 
 def test_deep_page_equals_top_k_page(spark, monkeypatch):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("id"), F.lit("x").alias("name")).repartition(7)
-    monkeypatch.setattr(paging, "TOP_K_ROWS", 100)
+    monkeypatch.setattr(paging, "LEAF_ROWS", 100)
     for offset in (0, 2490, 4990, 6000):
         got = [r["id"] for r in paging.page(df, ["id"], 25, offset + 100).collect()]
         assert got == list(range(offset + 100, min(offset + 125, 5000)))
 
 
+def test_deep_page_among_ties_and_nulls(spark, monkeypatch):
+    group = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("g"), F.col("id") % 7))
+    df = spark.range(2000).select(group.alias("g"), F.nullif(F.col("id") % 50, F.lit(7)).alias("h"), "id")
+    keys = ["g", "h", "id"]
+    wanted = [r["id"] for r in df.orderBy(*(F.col(k).asc_nulls_last() for k in keys)).collect()]
+    monkeypatch.setattr(paging, "LEAF_ROWS", 40)
+    for offset in (0, 655, 660, 1300, 1325, 1980, 1999, 2000):
+        got = [r["id"] for r in paging.page(df, keys, 20, offset).collect()]
+        assert got == wanted[offset : offset + 20]
+
+
+def test_column_profile(spark, tables):
+    rows = {(r["table_name"], r["column_name"]): r for r in catalog.column_profile(tables).collect()}
+    assert len(rows) == 5
+    name = rows["users", "name"]
+    assert (name["ordinal"], name["n_rows"], name["n_null"]) == (2, 2, 0)
+    assert (name["least_text"], name["greatest_text"], name["least_number"]) == ("Alice", "Bob", None)
+    assert rows["users", "id"]["greatest_number"] == 2.0
+    assert (rows["demographics", "age"]["n_rows"], rows["demographics", "age"]["n_null"]) == (0, 0)
+
+
 def test_page_after(spark):
     df = spark.createDataFrame([(i // 3, i) for i in range(30)], "a int, b int")
     walked, last = [], None

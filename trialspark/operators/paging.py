@@ -3,19 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from trialspark.session import ensure_checkpoint_dir
-
 # Page sizes of the table view.
 DEFAULT_PAGE_SIZE = 25
 MAX_PAGE_SIZE = 1000
-# Up to this many leading rows a page is a per-task top-k; beyond, rows are
-# counted per sorted partition instead of gathered.
-TOP_K_ROWS = 100_000
+# A top-k never takes more rows than this from a task; deeper pages are narrowed down first.
+LEAF_ROWS = 10_000
 
 
 class InvalidTableName(ValueError):
@@ -39,88 +35,124 @@ def _order(keys: Sequence[str]) -> list[Column]:
     return [F.col(key).asc_nulls_last() for key in keys]
 
 
-def _check(limit: int, offset: int) -> int:
+def _check(limit: int, offset: int, max_size: int) -> None:
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must not be negative")
-    return min(limit, MAX_PAGE_SIZE)
+    if limit > max_size:
+        raise ValueError(f"a page holds at most {max_size} rows")
 
 
 def page(
-    df: DataFrame, keys: Sequence[str], limit: int = DEFAULT_PAGE_SIZE, offset: int = 0
+    df: DataFrame,
+    keys: Sequence[str],
+    limit: int = DEFAULT_PAGE_SIZE,
+    offset: int = 0,
+    max_size: int = MAX_PAGE_SIZE,
 ) -> DataFrame:
-    """Rows ``offset .. offset+limit`` in key order (at most 1000).
+    """Rows ``offset .. offset+limit`` in key order; a limit above ``max_size`` is refused.
 
-    The keys should order rows totally, or pages may overlap on ties.
+    The keys should order rows totally, or pages may overlap on ties. While the page
+    lies deep, the rows are narrowed to the range of a key that holds its start: the table
+    is never copied, and only one key column is shuffled.
     """
-    size = _check(limit, offset)
-    if offset + size > TOP_K_ROWS:
-        return _deep_page(df, keys, size, offset)
-    return df.orderBy(*_order(keys)).offset(offset).limit(size)
-
-
-def _deep_page(df: DataFrame, keys: Sequence[str], size: int, offset: int) -> DataFrame:
-    """Page far into a table: sort once by range, count per partition, pick by position.
-
-    The sorted table is checkpointed, so that counting and picking see the same
-    partitions even when executors are lost. The driver sees one count per
-    partition.
+    _check(limit, offset, max_size)
+    return _page(df, list(keys), list(keys), limit, offset)
+
+
+def _page(df: DataFrame, keys: list[str], narrowing: list[str], limit: int, offset: int) -> DataFrame:
+    if not narrowing or offset + limit <= LEAF_ROWS:
+        return df.orderBy(*_order(keys)).offset(offset).limit(limit)
+    key = F.col(narrowing[0])
+    before, found, only = 0, None, True
+    for row in _ranges(df, narrowing[0]):
+        if before + row["n"] > offset:
+            found = row
+            break
+        before, only = before + row["n"], False
+    if found is None:
+        return df.where(F.lit(False))
+    low, high = F.lit(found["low"]), F.lit(found["high"])
+    same = found["low"] == found["high"]
+    if only and found["last"] and not same:
+        # Too few values to draw ranges from.
+        return _page(df, keys, [], limit, offset)
+    holding = df.where(key.isNull() if found["missing"] else key.between(low, high))
+    first = _page(holding, keys, narrowing[1:] if same else narrowing, limit, offset - before)
+    short = limit - (found["n"] - (offset - before))
+    if found["missing"] or short <= 0:
+        return first
+    following = df.where((key > high) | key.isNull()).orderBy(*_order(keys)).limit(short)
+    return first.union(following).orderBy(*_order(keys))
+
+
+def _ranges(df: DataFrame, key: str) -> list[Row]:
+    """Ranges of a key in order: ``missing``, ``n``, ``low``, ``high``, and whether it is the ``last``.
+
+    Counts and bounds are exact and come from one job, so it does not matter how the
+    ranges were drawn. The driver sees one row per shuffle partition, one more for nulls.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    row_id = F.monotonically_increasing_id()
-    ranged = df.orderBy(*_order(keys)).withColumn("_row_id", row_id)
-    ordered = ranged.withColumns(
-        {
-            "_part": F.shiftright("_row_id", 33),
-            "_at": F.col("_row_id").bitwiseAND(F.lit((1 << 33) - 1)),
-        }
-    ).checkpoint()
-    counts = ordered.groupBy("_part").count().orderBy("_part").collect()
-    picks: list[Column] = []
-    before = 0
-    for part, count in counts:
-        low, high = max(offset - before, 0), min(offset + size - before, count)
-        if low < high:
-            at = F.col("_at")
-            picks.append((F.col("_part") == part) & (at >= low) & (at < high))
-        before += count
-    wanted = reduce(Column.__or__, picks, F.lit(False))
-    return ordered.where(wanted).orderBy("_row_id").select(*df.columns)
+    n_ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = (
+        df.select(F.col(key).alias("k"))
+        .repartitionByRange(n_ranges, F.col("k").asc_nulls_last())
+        .select("k", F.spark_partition_id().alias("part"))
+        .groupBy(F.col("k").isNull().alias("missing"), "part")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high"))
+    )
+    # Nulls share one range, whatever partitions they lie in.
+    folded = counted.groupBy("missing", F.when(~F.col("missing"), F.col("part")).alias("part")).agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    rows = folded.orderBy("missing", "part").collect()
+    return [Row(**row.asDict(), last=row is rows[-1]) for row in rows]
 
 
 def page_after(
-    df: DataFrame, keys: Sequence[str], last: Sequence[object], limit: int = DEFAULT_PAGE_SIZE
+    df: DataFrame,
+    keys: Sequence[str],
+    last: Sequence[object],
+    limit: int = DEFAULT_PAGE_SIZE,
+    max_size: int = MAX_PAGE_SIZE,
 ) -> DataFrame:
     """Page that follows the row with key values ``last`` (keys must not be null).
 
     Walking page by page this way costs the same at any depth, and the first
     key's bound reaches the scan as a pushed filter.
     """
-    size = _check(limit, 0)
+    _check(limit, 0, max_size)
     later = F.lit(False)
     tied = F.lit(True)
     for key, value in zip(keys, last):
         later = later | (tied & (F.col(key) > F.lit(value)))
         tied = tied & (F.col(key) == F.lit(value))
     bounded = df.where(F.col(keys[0]) >= F.lit(last[0])).where(later)
-    return bounded.orderBy(*_order(keys)).limit(size)
+    return bounded.orderBy(*_order(keys)).limit(limit)
 
 
 def page_with_next(
-    df: DataFrame, keys: Sequence[str], page_number: int = 1, size: int = DEFAULT_PAGE_SIZE
+    df: DataFrame,
+    keys: Sequence[str],
+    page_number: int = 1,
+    size: int = DEFAULT_PAGE_SIZE,
+    max_size: int = MAX_PAGE_SIZE,
 ) -> tuple[DataFrame, bool]:
     """A numbered page (from 1) and whether another follows.
 
-    A page past the end steps back to the last page that has rows.
+    A page past the end steps back to the last page that has rows. One row more than the
+    page holds is read, which tells both.
     """
     if size < 1:
         raise ValueError("a page holds at least one row")
-    size = _check(size, 0)
+    _check(size, 0, max_size)
+
+    def read(number: int) -> list[Row]:
+        return page(df, keys, size + 1, (number - 1) * size, max_size + 1).collect()
+
     number = max(page_number, 1)
-    rows = page(df, keys, size, (number - 1) * size)
-    if number > 1 and rows.isEmpty():
-        number = max(1, -(-df.count() // size))
-        rows = page(df, keys, size, (number - 1) * size)
-    return rows, not page(df, keys, 1, number * size).isEmpty()
+    rows = read(number)
+    if number > 1 and not rows:
+        rows = read(max(1, -(-df.count() // size)))
+    return df.sparkSession.createDataFrame(rows[:size], df.schema), len(rows) > size
 
 
 def row_records(df: DataFrame, name: str = "record") -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from trialspark.types import display_name
 
@@ -70,6 +71,42 @@ def catalog_tables(spark: SparkSession, tables: Tables) -> DataFrame:
     return reduce(DataFrame.union, counted)
 
 
+def _column_profile(name: str, df: DataFrame) -> DataFrame:
+    plain = df.toDF(*(f"c{at}" for at in range(len(df.columns))))
+    rows = []
+    for at, field in enumerate(df.schema.fields):
+        value = F.col(f"c{at}")
+        number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+        if isinstance(field.dataType, NumericType):
+            number = value.cast("double")
+        elif isinstance(field.dataType, (StringType, DateType, TimestampType, TimestampNTZType)):
+            text = value.cast("string")
+        rows.append(
+            F.struct(
+                F.lit(name).alias("table_name"),
+                F.lit(at + 1).alias("ordinal"),
+                F.lit(field.name).alias("column_name"),
+                F.lit(display_name(field.dataType)).alias("column_type"),
+                F.count(F.lit(1)).alias("n_rows"),
+                F.count_if(value.isNull()).alias("n_null"),
+                F.min(number).alias("least_number"),
+                F.max(number).alias("greatest_number"),
+                F.min(text).alias("least_text"),
+                F.max(text).alias("greatest_text"),
+            )
+        )
+    return plain.agg(F.array(*rows).alias("columns")).select(F.inline("columns"))
+
+
+def column_profile(tables: Tables) -> DataFrame:
+    """Every column of every table: type, rows, nulls, least and greatest value.
+
+    One aggregate per table. Numbers are compared as doubles, texts, dates and times as
+    text; columns of other types have neither bound. Empty tables have zero counts.
+    """
+    return reduce(DataFrame.union, (_column_profile(name, df) for name, df in sorted(tables.items())))
+
+
 def schema_bullets(spark: SparkSession, tables: Tables) -> DataFrame:
     """``(table_name, text)``: a heading, then one ``- column (TYPE)`` line per column."""
     line = F.concat(F.lit("- "), F.col("column_name"), F.lit(" ("), F.col("column_type"), F.lit(")\n"))
