@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trialspark.bindings.registry import TABLES, all_tables, query, table
 from trialspark.functions.text import route_input
-from trialspark.operators.paging import page, row_records
+from trialspark.operators.paging import page, page_after, page_with_next, row_records
 from trialspark.plans import catalog as plans
 from trialspark.plans.sql import run_sql
 
@@ -16,23 +16,27 @@ SQL_COLUMNS = f"""(SELECT table_name, ordinal_position AS ordinal, column_name,
     FROM information_schema.columns WHERE table_name IN ({SQL_TABLE_NAMES}))"""
 
 
-@query(f"SELECT DISTINCT table_name AS name FROM {SQL_COLUMNS}")
-def list_tables(spark: SparkSession, folder: str) -> DataFrame:
-    return plans.list_tables(spark, all_tables(spark, folder))
+# Types whose least and greatest values are numbers or texts.
+SQL_NUMBERS = "('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE')"
+SQL_TEXTS = "('VARCHAR', 'DATE', 'TIMESTAMP', 'TIMESTAMP WITH TIME ZONE')"
 
 
-@query(f"SELECT table_name, ordinal, column_name, column_type FROM {SQL_COLUMNS}")
-def describe_tables(spark: SparkSession, folder: str) -> DataFrame:
-    return plans.describe_tables(spark, all_tables(spark, folder))
+def _sql_profile(name: str) -> str:
+    number = f"CASE WHEN c.column_type IN {SQL_NUMBERS} THEN TRY_CAST(v AS DOUBLE) END"
+    text = f"CASE WHEN c.column_type IN {SQL_TEXTS} THEN v END"
+    return f"""SELECT c.table_name, c.ordinal, c.column_name, c.column_type,
+        (SELECT count(*) FROM {name}) AS n_rows, (SELECT count(*) FROM {name}) - count(v) AS n_null,
+        min({number}) AS least_number, max({number}) AS greatest_number,
+        min({text}) AS least_text, max({text}) AS greatest_text
+        FROM {SQL_COLUMNS} c LEFT JOIN
+        (UNPIVOT (SELECT COLUMNS(*)::VARCHAR FROM {name}) ON COLUMNS(*) INTO NAME k VALUE v) u
+        ON u.k = c.column_name WHERE c.table_name = '{name}' GROUP BY ALL"""
 
 
-@query(
-    f"""SELECT table_name AS name, '[' || string_agg('{{"name":"' || column_name || '","type":"' ||
-    column_type || '"}}', ',' ORDER BY ordinal) || ']' AS columns FROM {SQL_COLUMNS} GROUP BY table_name"""
-)
-def schema_listing(spark: SparkSession, folder: str) -> DataFrame:
-    listing = plans.schema_listing(spark, all_tables(spark, folder))
-    return listing.withColumn("columns", F.to_json("columns"))
+@query(" UNION ALL ".join(map(_sql_profile, TABLES)))
+def column_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables, columns and types, with what the rows hold."""
+    return plans.column_profile(all_tables(spark, folder))
 
 
 @query(
@@ -53,11 +57,6 @@ SQL_BULLETS = f"""(SELECT table_name, 'Table: ' || table_name || chr(10) || 'Col
     FROM {SQL_COLUMNS} GROUP BY table_name)"""
 
 
-@query(f"SELECT table_name, text FROM {SQL_BULLETS}")
-def schema_bullets(spark: SparkSession, folder: str) -> DataFrame:
-    return plans.schema_bullets(spark, all_tables(spark, folder))
-
-
 # Keys that make the sample row of a table the same in every run.
 SAMPLE_KEYS = {
     "customer": ["c_custkey"],
@@ -131,6 +130,47 @@ def page_rows(spark: SparkSession, folder: str) -> DataFrame:
     return page(table(spark, folder, "lineitem"), LINEITEM_KEYS, limit=25, offset=50)
 
 
+LINEITEM_ORDER = ", ".join(LINEITEM_KEYS)
+
+
+@query(
+    f"""SELECT * FROM lineitem ORDER BY {LINEITEM_ORDER}
+    LIMIT 25 OFFSET (SELECT count(*) // 2 + 7 FROM lineitem)"""
+)
+def page_deep(spark: SparkSession, folder: str) -> DataFrame:
+    """A page past the middle of the table."""
+    lines = table(spark, folder, "lineitem")
+    return page(lines, LINEITEM_KEYS, limit=25, offset=lines.count() // 2 + 7)
+
+
+@query(
+    f"""(SELECT *, 3 AS page_number, (SELECT count(*) FROM lineitem) > 75 AS has_next FROM lineitem
+        ORDER BY {LINEITEM_ORDER} LIMIT 25 OFFSET 50)
+    UNION ALL (SELECT *, -1, false FROM lineitem
+        ORDER BY {LINEITEM_ORDER} LIMIT 25 OFFSET (SELECT (count(*) - 1) // 25 * 25 FROM lineitem))"""
+)
+def page_next(spark: SparkSession, folder: str) -> DataFrame:
+    """The third page, and the last one by asking for one far past the end."""
+    lines = table(spark, folder, "lineitem")
+    third, more = page_with_next(lines, LINEITEM_KEYS, 3)
+    last, none = page_with_next(lines, LINEITEM_KEYS, 10**9)
+    return third.select("*", F.lit(3).alias("page_number"), F.lit(more).alias("has_next")).union(
+        last.select("*", F.lit(-1), F.lit(none))
+    )
+
+
+@query(
+    f"""SELECT * FROM lineitem WHERE row({LINEITEM_ORDER}) > (
+        SELECT row({LINEITEM_ORDER}) FROM lineitem ORDER BY {LINEITEM_ORDER} LIMIT 1 OFFSET 49)
+    ORDER BY {LINEITEM_ORDER} LIMIT 25"""
+)
+def page_key(spark: SparkSession, folder: str) -> DataFrame:
+    """The page that follows the 50th row."""
+    lines = table(spark, folder, "lineitem")
+    last = page(lines, LINEITEM_KEYS, limit=1, offset=49).first()
+    return page_after(lines, LINEITEM_KEYS, [last[key] for key in LINEITEM_KEYS], limit=25)
+
+
 ADHOC = """-- orders by status
 WITH busy AS (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) > 10)
 SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS greatest

@@ -87,6 +87,31 @@ def ingest_utf16(spark: SparkSession, folder: str) -> DataFrame:
     return _load_back(spark, {"turns.txt": turns}, "turns", sep="|", encoding="UTF-16LE")
 
 
+# A note that holds quotes in every 40th document only, written as one line.
+SQL_LATE_NOTE = r"""CASE WHEN doc_id % 40 = 7 THEN 'says {q}so{q}, then ' ELSE 'notes ' END ||
+    translate(coalesce(text, ''), chr(10) || chr(13) || '",' || chr(39) || chr(92), '      ')"""
+
+
+@query(
+    f"""SELECT 'backslash' AS form, doc_id, {SQL_LATE_NOTE.format(q='"')} AS note FROM documents
+    UNION ALL SELECT 'single', doc_id, {SQL_LATE_NOTE.format(q="''")} FROM documents"""
+)
+def ingest_late_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Exports whose first quoted field follows thousands of plain lines."""
+    docs = table(spark, folder, "documents")
+    plain = F.translate(F.coalesce("text", F.lit("")), "\n\r\",'\\", "      ")
+    loaded = []
+    for form, quote in (("backslash", '"'), ("single", "'")):
+        late = F.col("doc_id") % 40 == 7
+        start = F.when(late, f"says {quote}so{quote}, then ").otherwise("notes ")
+        notes = docs.select("doc_id", F.concat(start, plain).alias("note"), late.alias("late"))
+        # Plain lines come first; a writer quotes the late ones alone, as they hold a comma.
+        notes = notes.orderBy("late", "doc_id").drop("late")
+        back = _load_back(spark, {"notes.csv": notes}, "notes", quote=quote, escape="\\")
+        loaded.append(back.select(F.lit(form).alias("form"), "doc_id", "note"))
+    return loaded[0].union(loaded[1])
+
+
 @query("SELECT doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents")
 def ingest_multiline(spark: SparkSession, folder: str) -> DataFrame:
     """Whole texts with quotes, separators and line ends inside quoted fields."""
@@ -105,11 +130,16 @@ def harmonize_columns(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """SELECT * FROM (
     SELECT 'orders.csv' AS name, 'orders' AS "table", 'utf-8' AS encoding, ',' AS sep,
-        'loaded' AS status, (SELECT count(*) FROM orders) AS n_rows
-    UNION ALL SELECT 'orders.txt', 'orders', 'utf-8', '|', 'skipped', NULL
-    UNION ALL SELECT 'Latin-1.csv', 'latin_1', 'utf-8', ',', 'failed', NULL
-    UNION ALL SELECT '3 Sites.csv', 't_3_sites', 'utf-8', chr(9), 'loaded', (SELECT count(*) FROM supplier)
-    UNION ALL SELECT 'Subjects.txt', 'subjects', 'utf-16', '|', 'loaded', (SELECT count(*) FROM customer)
+        'loaded' AS status, NULL AS error, (SELECT count(*) FROM orders) AS n_rows, 0 AS n_ragged
+    UNION ALL SELECT 'orders.txt', 'orders', 'utf-8', '|', 'skipped', NULL, NULL, NULL
+    UNION ALL SELECT 'Latin-1.csv', 'latin_1', 'utf-8', ',', 'failed',
+        'invalid unicode: the file is not UTF-8', NULL, NULL
+    UNION ALL SELECT 'Ragged.csv', 'ragged', 'utf-8', ',', 'loaded', NULL, (SELECT count(*) FROM orders),
+        (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 3)
+    UNION ALL SELECT '3 Sites.csv', 't_3_sites', 'utf-8', chr(9), 'loaded', NULL,
+        (SELECT count(*) FROM supplier), 0
+    UNION ALL SELECT 'Subjects.txt', 'subjects', 'utf-16', '|', 'loaded', NULL,
+        (SELECT count(*) FROM customer), 0
     )"""
 )
 def load_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -124,15 +154,18 @@ def load_report(spark: SparkSession, folder: str) -> DataFrame:
     export(orders, "orders.csv")
     export(orders, "a/orders.txt", sep="|")
     export(texts, "Latin-1.csv", encoding="ISO-8859-1")
+    ragged = F.col("o_orderkey") % 5 == 3
+    extra = F.when(ragged, ",odd").otherwise("")
+    lines = orders.orderBy(ragged, "o_orderkey").select(F.concat("o_orderkey", F.lit(","), "o_orderstatus", extra))
+    lines.write.text(f"{work}/in/Ragged.csv")
     export(sites, "3 Sites.csv", sep="\t")
     export(sites, "Sites Glossary.csv")
     subjects = table(spark, folder, "customer")
     marked = subjects.withColumnRenamed("c_custkey", "\ufeffc_custkey")
     export(marked, "b/Subjects.txt", sep="|", encoding="UTF-16LE")
     report = load_folder(spark, f"{work}/in", FolderStore(spark, f"{work}/tables"))
-    return report.select(
-        F.substring_index("path", "/", -1).alias("name"), "table", "encoding", "sep", "status", "n_rows"
-    )
+    name = F.substring_index("path", "/", -1).alias("name")
+    return report.select(name, *(c for c in report.columns if c != "path"))
 
 
 @query(
