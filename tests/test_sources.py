@@ -102,10 +102,22 @@ def test_damaged_member_fails_its_archive(spark, tmp_path):
         zipped.writestr("b.csv", "payload payload payload")
     file.write_bytes(file.read_bytes().replace(b"payload payload payload", b"payload damaged payload"))
     rows = {r["member"]: r["status"] for r in expand_archives(spark, str(tmp_path)).collect()}
-    assert rows == {"a.csv": "extracted", "b.csv": "failed"}
+    assert rows == {"a.csv": "held_back", "b.csv": "failed"}
     assert not (tmp_path / "damaged").exists()
 
 
+def test_archives_without_files_become_empty_folders(spark, tmp_path):
+    zipfile.ZipFile(tmp_path / "none.zip", "w").close()
+    with zipfile.ZipFile(tmp_path / "folders.zip", "w") as zipped:
+        zipped.writestr("only/", "")
+    (tmp_path / "text.zip").write_bytes(b"x")
+    for _ in range(2):
+        rows = {r["archive"].rsplit("/", 1)[1]: (r["member"], r["status"]) for r in expand_archives(spark, str(tmp_path)).collect()}
+        assert rows == {"none.zip": (None, "extracted"), "folders.zip": (None, "extracted"), "text.zip": (None, "failed")}
+        assert (tmp_path / "none").is_dir() and (tmp_path / "folders").is_dir()
+        assert not list(tmp_path.glob(".extracting-*"))
+
+
 def test_safe_member():
     assert _safe_member("/abs/x.csv") == "abs/x.csv"
     assert _safe_member("a\\..\\b.csv") == "a/b.csv"

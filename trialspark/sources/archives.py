@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import posixpath
 import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyarrow import ArrowInvalid, fs
@@ -37,6 +39,15 @@ def _safe_member(name: str) -> str | None:
     return None if name.endswith("/") or not parts else "/".join(parts)
 
 
+@contextmanager
+def _opened(system: fs.FileSystem, path: str) -> Iterator[zipfile.ZipFile]:
+    """An archive for reading; a small one in memory, as Arrow files refuse seeks before their start."""
+    with system.open_input_file(path) as source:
+        small = source.size() <= CHUNK
+        with zipfile.ZipFile(io.BytesIO(source.read()) if small else source) as zipped:
+            yield zipped
+
+
 def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Central directory of each archive; members are not read."""
     columns = ["archive", "target", "member", "n_bytes", "error"]
@@ -45,12 +56,14 @@ def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for archive, target in zip(batch["archive"], batch["target"]):
             system, path = resolve(archive)
             try:
-                with system.open_input_file(path) as source, zipfile.ZipFile(source) as zipped:
-                    rows += [
+                with _opened(system, path) as zipped:
+                    found = [
                         (archive, target, info.filename, info.file_size, None)
                         for info in zipped.infolist()
                         if _safe_member(info.filename)
                     ]
+                # An archive without files still has a row, and becomes an empty folder.
+                rows += found or [(archive, target, None, 0, None)]
             except (zipfile.BadZipFile, ArrowInvalid):
                 rows.append((archive, target, None, None, BAD_ZIP))
         yield pd.DataFrame(rows, columns=columns)
@@ -84,10 +97,13 @@ def _copy_member(zipped: zipfile.ZipFile, member: str, target: str) -> None:
 def _extract_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         errors: list[str | None] = list(batch["error"].where(batch["error"].notna(), None))
+        for target in batch[batch["member"].isna() & batch["error"].isna()]["target"]:
+            system, folder = resolve(_staging(target))
+            system.create_dir(folder, recursive=True)
         todo = batch[batch["member"].notna()]
         for archive, members in todo.groupby("archive", sort=False):
             system, path = resolve(archive)
-            with system.open_input_file(path) as source, zipfile.ZipFile(source) as zipped:
+            with _opened(system, path) as zipped:
                 for at, member, target in zip(members.index, members["member"], members["target"]):
                     try:
                         _copy_member(zipped, member, target)
@@ -99,11 +115,26 @@ def _extract_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.assign(error=errors)
 
 
+def _deliver(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Give complete folders their final name, unless an earlier attempt has."""
+    for batch in batches:
+        for target in batch["target"]:
+            (system, final), (_, staging) = resolve(target), resolve(_staging(target))
+            if system.get_file_info(staging).type == fs.FileType.Directory:
+                if system.get_file_info(final).type == fs.FileType.Directory:
+                    # Without files, or its archive would have been skipped.
+                    system.delete_dir(final)
+                system.move(staging, final)
+        yield batch
+
+
 def expand_archives(spark: SparkSession, root: str) -> DataFrame:
     """Unpack every ``*.zip`` below ``root`` into a sibling folder of the same stem.
 
-    Returns ``(archive, member, n_bytes, status, error)`` with status
-    ``extracted``, ``skipped`` (the folder has files already) or ``failed``.
+    Returns ``(archive, member, n_bytes, status, error)`` with status ``extracted``,
+    ``skipped`` (the folder has files already), ``failed``, or ``held_back`` for a good
+    member of an archive with a failed one. An archive without files has one row
+    without a member.
     Listing an archive only costs its central directory; members are then spread
     over the cluster, so one huge archive is unpacked by many tasks, each copying
     in small chunks. A folder appears under its final name only when its archive
@@ -140,9 +171,11 @@ def expand_archives(spark: SparkSession, root: str) -> DataFrame:
     extracted = spread.mapInPandas(_extract_members, _MEMBER_SCHEMA).withColumn("status", outcome)
     report = extracted.union(skipped.select(*extracted.columns)).checkpoint()
 
-    failed = F.count_if(F.col("status") != "extracted").alias("n_failed")
-    complete = report.groupBy("target").agg(failed).where("n_failed = 0").select("target")
-    for row in complete.toLocalIterator():
-        system, final = resolve(row["target"])
-        system.move(resolve(_staging(row["target"]))[1], final)
-    return report.select("archive", "member", "n_bytes", "status", "error")
+    failed = F.count_if(F.col("status") == "failed").alias("n_failed")
+    worked = report.where("status != 'skipped'").groupBy("target").agg(failed)
+    complete = worked.where("n_failed = 0").select("target").repartition(tasks, "target")
+    complete.mapInPandas(_deliver, "target string").count()
+    held_back = (F.col("status") == "extracted") & (F.col("n_failed") > 0)
+    return report.join(worked, "target", "left").select(
+        "archive", "member", "n_bytes", F.when(held_back, "held_back").otherwise(F.col("status")).alias("status"), "error"
+    )
