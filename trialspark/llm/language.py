@@ -76,9 +76,16 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS_PER_LANGUAGE) -> Profiles:
     a language or text are left out; no rows give no profiles.
     """
     known = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = [row["lang"] for row in sizes]
+    if not languages:
+        return Profiles([], np.zeros(0, U64), np.zeros((0, 0), np.int32))
     place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20))
-    chosen = known.join(sizes, "lang").where(place < F.lit(max_rows << 20) / F.col("n"))
+    # At most MAX_LANGUAGES rows, so that no text is shuffled by its language.
+    shares = F.broadcast(labelled.sparkSession.createDataFrame(sizes, "lang string, n long"))
+    chosen = known.join(shares, "lang").where(place < F.lit(max_rows << 20) / F.col("n"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,9 +114,6 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS_PER_LANGUAGE) -> Profiles:
     )
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     ranked = counts.withColumn("rank", rank).where(F.col("rank") <= PROFILE_SIZE)
-    languages = [r["lang"] for r in sizes.orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rows = ranked.select("lang", "code", "rank").collect()
     codes = np.unique(np.array([r["code"] for r in rows], np.int64).view(U64))
     ranks = np.full((len(codes), len(languages)), -1, np.int32)
