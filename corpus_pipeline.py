@@ -11,6 +11,10 @@ from trialspark.llm.hashed_linear import held_out
 from trialspark.llm.stored import stored
 
 
+# Similarity in hundredths from which two documents of the corpus are near duplicates.
+NEAR_PERCENT = 80
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,7 +30,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return near_dedup.without_near_duplicates(docs)
+    return near_dedup.without_near_duplicates(docs, NEAR_PERCENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,6 +83,35 @@ def test_one_row_of_each_component_stays(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_the_pipeline_links_from_080_on(spark):
+    # Each new word replaces five of 360 shingles: 5 of them give 0.870, 6 0.846, 7 0.823, 8 0.800, 9 0.778.
+    texts = {}
+    for pair in range(60):
+        words = [f"p{pair}w{i}" for i in range(364)]
+        texts[2 * pair] = " ".join(words)
+        for at in range(5 + pair % 5):
+            words[20 + 35 * at] = f"p{pair}new{at}"
+        texts[2 * pair + 1] = " ".join(words)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    alike = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 120, 2)}
+    assert sum(0.8 <= s < 0.85 for s in alike.values()) == 36
+    docs = spark.createDataFrame(list(texts.items()), SCHEMA)
+    for least, left in (
+        (80, corpus_pipeline.minhash_near_dedup(spark, docs, FOLDER)),
+        (85, near_dedup.without_near_duplicates(docs, 85)),
+    ):
+        gone = {i + 1 for i, s in alike.items() if s >= least / 100}
+        assert {r["doc_id"] for r in left.collect()} == set(texts) - gone
+
+
+def test_bands_and_bar_follow_the_threshold():
+    assert [near_dedup.bands_for(p) for p in (85, 80)] == [24, 32]
+    assert [round(near_dedup.sketch_bar(p), 2) for p in (85, 80)] == [0.59, 0.56]
+    for percent in (49, 101):
+        with pytest.raises(ValueError):
+            near_dedup.bands_for(percent)
+
+
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BUCKET_CHUNK", 4)
     monkeypatch.setattr(near_dedup, "BLOCK_DOCUMENTS", 4)

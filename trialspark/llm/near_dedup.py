@@ -1,7 +1,8 @@
 """Near-duplicate documents by b-bit MinHash.
 
-1. Each document's set of word shingles gives 96 minima. Runs of four make 24 band
-   keys; the low four bits of every minimum are packed into a sketch of 48 bytes.
+1. Each document's set of word shingles gives minima, 96 for a threshold of 0.85 and 128
+   for 0.80. Runs of four make 24 or 32 band keys; the low four bits of every minimum are
+   packed into a sketch of 48 or 64 bytes.
 2. Documents with one and the same set form a class with its least id as
    representative (aggregated map-side, so a class may hold any share of all rows).
 3. Representatives that share a band key are candidates. Inside a band bucket the
@@ -13,14 +14,16 @@
    block confirms every pair on the full sets and emits a spanning forest of links.
 5. Components of the confirmed links.
 
-Two documents at the threshold of 0.85 share no band with a chance of 3e-8, and fall
-below the sketch's bar of 0.6 with a chance below 1e-9; everything else is exact, up
-to 64-bit hash collisions of shingles.
+The number of bands and the sketch's bar follow from the threshold: two documents at it
+share no band with a chance of at most 5e-8, and fall below the bar with one of at most
+5e-9; everything else is exact, up to 64-bit hash collisions of shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +36,11 @@ from trialspark.llm.stored import stored
 
 SHINGLE_WORDS = 5
 MIN_PERCENT = 85
-BANDS, ROWS, BITS = 24, 4, 4
-HASHES = BANDS * ROWS
-SKETCH_BAR = 0.6
+ROWS, BITS = 4, 4
+NO_BAND, BELOW_BAR = 5e-8, 5e-9
 BUCKET_CHUNK = 512
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 256, 1_000_000
 
-_random = np.random.default_rng(20240917)
-_FACTORS = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
-_TERMS = _random.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _NIBBLE_ONES = U64(0x1111111111111111)
 
 SIGNATURE = (
@@ -49,6 +48,38 @@ SIGNATURE = (
 )
 
 
+def bands_for(min_percent: int) -> int:
+    """Bands, in whole 64-bit words of sketch, of which a pair at the threshold shares one."""
+    if not 50 <= min_percent <= 100:
+        raise ValueError("min_percent must be between 50 and 100")
+    bands = 4
+    while (1 - (min_percent / 100) ** ROWS) ** bands > NO_BAND:
+        bands += 4
+    return bands
+
+
+def sketch_bar(min_percent: int) -> float:
+    """Estimated similarity that a pair at the threshold reaches."""
+    hashes, chance = bands_for(min_percent) * ROWS, 2.0**-BITS
+    agree = min_percent / 100 * (1 - chance) + chance
+    # Matches at which the chance to have fewer is still small.
+    matches, fewer = 0, 0.0
+    while matches < hashes:
+        fewer += comb(hashes, matches) * agree**matches * (1 - agree) ** (hashes - matches)
+        if fewer > BELOW_BAR:
+            break
+        matches += 1
+    return ((matches - 0.5) / hashes - chance) / (1 - chance)
+
+
+@lru_cache
+def _hashing(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and terms of the hash functions."""
+    random = np.random.default_rng(20240917)
+    factors = random.integers(0, 1 << 63, hashes, dtype=np.uint64) * U64(2) + U64(1)
+    return factors, random.integers(0, 1 << 63, hashes, dtype=np.uint64)
+
+
 def shingle_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of the ``text`` column, text by text, and where each text begins."""
     data, offsets = text_bytes(batch.column("text"))
@@ -59,29 +90,31 @@ def shingle_sets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+def _sign(batch: pa.RecordBatch, bands: int) -> pa.RecordBatch:
+    hashes = bands * ROWS
+    factors, terms = _hashing(hashes)
     value, bounds = shingle_sets(batch)
     n, sizes = batch.num_rows, np.diff(bounds)
     full = np.flatnonzero(sizes)
     starts = bounds[:-1][full]
-    minima = np.empty((len(full), HASHES), U64)
+    minima = np.empty((len(full), hashes), U64)
     set_a, set_b = np.zeros(n, U64), np.zeros(n, U64)
     if len(full):
-        for i in range(HASHES):
-            minima[:, i] = np.minimum.reduceat(value * _FACTORS[i] + _TERMS[i], starts)
+        for i in range(hashes):
+            minima[:, i] = np.minimum.reduceat(value * factors[i] + terms[i], starts)
         set_a[full] = np.add.reduceat(mix(value), starts)
-        set_b[full] = np.add.reduceat(mix(value ^ _TERMS[0]), starts)
+        set_b[full] = np.add.reduceat(mix(value ^ terms[0]), starts)
     mixed = mix(minima)
-    keys = np.zeros((len(full), BANDS), U64)
+    keys = np.zeros((len(full), bands), U64)
     for row in range(ROWS):
-        keys = mix(keys + mixed[:, row::ROWS] + np.arange(1, BANDS + 1, dtype=U64))
+        keys = mix(keys + mixed[:, row::ROWS] + np.arange(1, bands + 1, dtype=U64))
     low = (mixed & U64((1 << BITS) - 1)).astype(np.uint8)
     packed = (low[:, 0::2] << 4 | low[:, 1::2]).tobytes()
-    width = HASHES // 2
+    width = hashes // 2
     sketches: list[bytes | None] = [None] * n
     for k, i in enumerate(full.tolist()):
         sketches[i] = packed[k * width : (k + 1) * width]
-    ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, BANDS, 0)))).astype(np.int32)
+    ends = np.concatenate(([0], np.cumsum(np.where(sizes > 0, bands, 0)))).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
             batch.column("doc_id").cast(pa.int64()),
@@ -95,20 +128,21 @@ def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     """Set size, set fingerprint, band keys and b-bit sketch of every document."""
+    bands = bands_for(min_percent)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                yield _sign(part)
+                yield _sign(part, bands)
 
     return docs.select("doc_id", "text").mapInArrow(sign, SIGNATURE)
 
 
 def estimated_similarity(sketches: np.ndarray) -> np.ndarray:
     """Jaccard estimates of all pairs of sketches (rows of 64-bit words), corrected for chance."""
-    n = len(sketches)
+    n, hashes = len(sketches), sketches.shape[1] * (64 // BITS)
     differ = np.zeros((n, n), np.int64)
     for word in range(sketches.shape[1]):
         x = sketches[:, word][:, None] ^ sketches[:, word][None, :]
@@ -116,7 +150,7 @@ def estimated_similarity(sketches: np.ndarray) -> np.ndarray:
         x |= x >> U64(1)
         differ += np.bitwise_count(x & _NIBBLE_ONES)
     chance = 2.0**-BITS
-    return ((HASHES - differ) / HASHES - chance) / (1 - chance)
+    return ((hashes - differ) / hashes - chance) / (1 - chance)
 
 
 def _forest(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,15 +177,15 @@ def _emit(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordB
         yield _edges(held)
 
 
-def _similar_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _similar_sketches(bar: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for group in runs(batches, ["key", "block_a", "block_b"]):
             ids = group.column("doc_id").to_numpy()
             raw = b"".join(group.column("sketch").to_pylist())
             sketches = np.frombuffer(raw, U64).reshape(len(ids), -1)
-            yield _forest(ids, estimated_similarity(sketches) >= SKETCH_BAR)
+            yield _forest(ids, estimated_similarity(sketches) >= bar)
 
-    return _emit(found())
+    return lambda batches: _emit(found(batches))
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -174,8 +208,8 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return common.astype(np.int64)
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def found() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _confirmed(min_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for group in runs(batches, ["cluster", "block_a", "block_b"]):
             ids = group.column("doc_id").to_numpy()
             sets: list[np.ndarray] = []
@@ -185,9 +219,9 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sets += [value[low:high] for low, high in zip(bounds, bounds[1:])]
             common, sizes = intersections(sets), np.array([len(s) for s in sets])
             union = sizes[:, None] + sizes[None, :] - common
-            yield _forest(ids, (100 * common >= MIN_PERCENT * union) & (common > 0))
+            yield _forest(ids, (100 * common >= min_percent * union) & (common > 0))
 
-    return _emit(found())
+    return lambda batches: _emit(found(batches))
 
 
 def _in_blocks(df: DataFrame, chunks: str, *keys: str) -> DataFrame:
@@ -205,7 +239,7 @@ def _in_blocks(df: DataFrame, chunks: str, *keys: str) -> DataFrame:
     )
 
 
-def candidate_edges(signed: DataFrame) -> DataFrame:
+def candidate_edges(signed: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     """Spanning forests ``(a, b)`` of the pairs in each band bucket whose sketches may be similar."""
     banded = signed.where("n_shingles > 0").select("doc_id", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -215,10 +249,12 @@ def candidate_edges(signed: DataFrame) -> DataFrame:
     blocks = _in_blocks(sketched, "chunks", "key").select(
         "key", "block_a", "block_b", "doc_id", "sketch"
     )
-    return blocks.mapInArrow(_similar_sketches, "a long, b long")
+    return blocks.mapInArrow(_similar_sketches(sketch_bar(min_percent)), "a long, b long")
 
 
-def confirmed_edges(docs: DataFrame, sizes: DataFrame, clusters: DataFrame) -> DataFrame:
+def confirmed_edges(
+    docs: DataFrame, sizes: DataFrame, clusters: DataFrame, min_percent: int = MIN_PERCENT
+) -> DataFrame:
     """Spanning forests ``(a, b)`` of the pairs in each cluster that are similar on full sets."""
     members = clusters.join(sizes, clusters["id"] == sizes["doc_id"]).drop("doc_id")
     loads = members.groupBy("component").agg(
@@ -231,26 +267,27 @@ def confirmed_edges(docs: DataFrame, sizes: DataFrame, clusters: DataFrame) -> D
     blocks = _in_blocks(texts, "chunks", "cluster").select(
         "cluster", "block_a", "block_b", "doc_id", "text"
     )
-    return blocks.mapInArrow(_confirmed, "a long, b long")
+    return blocks.mapInArrow(_confirmed(min_percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs(doc_id, text)``.
 
+    Documents are linked from a similarity of ``min_percent`` hundredths on.
     Null and blank texts have no shingles, are linked with nothing and kept. Rows that
     repeat a ``doc_id`` are one node of the graph. A row with a null id is linked with
     nothing: its component is null and it is kept. Other columns are ignored.
     """
-    signed = stored(signatures(docs), "signatures")
+    signed = stored(signatures(docs, min_percent), "signatures")
     known = signed.where("doc_id IS NOT NULL")
     full = known.where("n_shingles > 0")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"))
     heads = full.join(
         classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi"
     )
-    clusters = connected_components(candidate_edges(heads))
+    clusters = connected_components(candidate_edges(heads, min_percent))
     sizes = known.select("doc_id", "n_shingles")
-    links = confirmed_edges(docs, sizes, clusters)
+    links = confirmed_edges(docs, sizes, clusters, min_percent)
     copies = full.join(classes, ["set_a", "set_b"]).select(
         F.col("doc_id").alias("a"), F.col("first").alias("b")
     )
@@ -265,12 +302,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each near-duplicate component left.
 
     Of a repeated ``doc_id`` one row stays; rows with a null id all stay.
     """
-    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(
+    kept = near_duplicates(docs, min_percent).where("kept AND doc_id IS NOT NULL").select(
         F.col("doc_id").alias("kept_id")
     )
     nth = F.row_number().over(_by_id())

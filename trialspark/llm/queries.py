@@ -146,7 +146,7 @@ def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dedup.near_duplicates(_texts(spark, folder))
+    return near_dedup.near_duplicates(_texts(spark, folder), 85)
 
 
 @_query
