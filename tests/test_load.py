@@ -119,6 +119,51 @@ def test_discovery_groups_part_files(spark, tmp_path):
     assert rows == {"big.csv": 3, "part-of.csv": 1}
 
 
+def test_names_that_spark_hides_are_loaded(spark, tmp_path):
+    data = tmp_path / "in"
+    for folder in ("_d", ".h/_e", "_f [1]", ".extracting-x", "plain"):
+        (data / folder).mkdir(parents=True)
+    (data / "_a.csv").write_text("id,n\n1,20\n2,22\n")
+    (data / "plain" / ".b.txt").write_text("id|n\n3,5|4\n")
+    (data / "_d" / "c.csv").write_text("id\n1\n")
+    (data / ".h" / "_e" / "_d.csv").write_text("id\n1\n2\n3\n")
+    (data / "_f [1]" / "f.txt").write_text("id\n1\n")
+    spark.range(10).repartition(2).write.csv(str(data / "_d" / "_parts.csv"), header=True)
+    (data / "_bad.csv").write_bytes(b"site,n\nM\xfcnster\xe9,8\n")
+    (data / "_d" / "._c.csv").write_text("id\n1\n")
+    (data / ".extracting-x" / "half.csv").write_text("id\n1\n")
+    store = FolderStore(spark, str(tmp_path / "tables"))
+    report = load_folder(spark, str(data), store)
+    assert report_of(report) == {
+        "_a.csv": ("t__a", "loaded", 2),
+        ".b.txt": ("t_.b", "loaded", 1),
+        "c.csv": ("c", "loaded", 1),
+        "_d.csv": ("t__d", "loaded", 3),
+        "f.txt": ("f", "loaded", 1),
+        "_parts.csv": ("t__parts", "loaded", 10),
+        "_bad.csv": ("t__bad", "failed", None),
+    }
+    assert store.read("t__a").selectExpr("sum(n)").first()[0] == 42
+    assert store.names() == ["c", "f", "t_.b", "t__a", "t__d", "t__parts"]
+    again = load_folder(spark, str(data), store).where("status = 'loaded'")
+    assert again.count() == 0
+
+
+def test_archives_in_hidden_folders_are_unpacked(spark, tmp_path):
+    import zipfile
+
+    from trialspark.sources.archives import expand_archives
+
+    for folder in ("_z", ".z"):
+        (tmp_path / folder).mkdir()
+        with zipfile.ZipFile(tmp_path / folder / "_x.zip", "w") as zipped:
+            zipped.writestr("_rows.csv", "id\n1\n")
+    report = [r["status"] for r in expand_archives(spark, str(tmp_path)).collect()]
+    assert report == ["extracted"] * 2
+    assert (tmp_path / "_z" / "_x" / "_rows.csv").exists() and (tmp_path / ".z" / "_x" / "_rows.csv").exists()
+    assert [r["status"] for r in expand_archives(spark, str(tmp_path)).collect()] == ["skipped"] * 2
+
+
 def test_half_written_table_is_written_anew(spark, tmp_path):
     import os
 

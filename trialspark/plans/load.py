@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from trialspark.operators.harmonize import DEFAULT_SYNONYMS, harmonize
 from trialspark.plans.store import TableStore
 from trialspark.sources.delimited import profile, scan, sniff
-from trialspark.sources.discovery import discover_files
+from trialspark.sources.discovery import discover_files, readable_path
 
 REPORT_SCHEMA = (
     "path string, table string, encoding string, sep string, status string, "
@@ -57,7 +57,8 @@ def _load_file(
     path, table = file["path"], file["table"]
     layout = None
     try:
-        layout = sniff(spark, path, file["first_part"])
+        readable = readable_path(spark, path)
+        layout = sniff(spark, readable, readable if readable != path else file["first_part"])
         if store.exists(table):
             return (path, table, layout.encoding, layout.sep, "skipped", None, None, None)
         found = profile(spark, layout)

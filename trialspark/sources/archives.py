@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.session import ensure_checkpoint_dir
-from trialspark.sources.discovery import list_files
+from trialspark.sources.discovery import STAGING_PREFIX, list_files
 
 BAD_ZIP = "Bad Zip File"
 CHUNK = 1 << 20
@@ -72,7 +72,7 @@ def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _staging(target: str) -> str:
     """Hidden sibling folder that an archive is unpacked into before it is complete."""
     parent, _, name = target.rpartition("/")
-    return f"{parent}/.extracting-{name}"
+    return f"{parent}/{STAGING_PREFIX}{name}"
 
 
 def _replace(system: fs.FileSystem, source: str, final: str) -> None:
@@ -142,7 +142,7 @@ def expand_archives(spark: SparkSession, root: str) -> DataFrame:
     often the result is used.
     """
     ensure_checkpoint_dir(spark)
-    archives = list_files(spark, root, "*.zip").select(
+    archives = list_files(spark, root, ".zip").select(
         F.col("path").alias("archive"),
         F.regexp_replace("path", r"\.zip$", "").alias("target"),
     )
@@ -152,7 +152,7 @@ def expand_archives(spark: SparkSession, root: str) -> DataFrame:
         F.sequence(F.lit(1), F.size(levels) - 1),
         lambda n: F.array_join(F.slice(levels, F.lit(1), n), "/"),
     )
-    present = list_files(spark, root, "*").select(F.explode(parents).alias("target")).distinct()
+    present = list_files(spark, root).select(F.explode(parents).alias("target")).distinct()
     todo = archives.join(present, "target", "left_anti").select("archive", "target")
     skipped = archives.join(present, "target", "left_semi").select(
         "archive",

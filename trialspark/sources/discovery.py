@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.functions.text import file_stem, table_name
+from trialspark.session import new_workspace
 
-# Files that are never data.
+# Files that are never data, and folders of archives not yet unpacked.
 HIDDEN_PREFIX = "._"
+STAGING_PREFIX = ".extracting-"
 DOCUMENT_WORDS = ("Glossary", "Protocol")
 
 
@@ -19,15 +21,38 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
-def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """``(path, length)`` of the files below a folder; file content is never read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .load(literal_path(root))
-        .select("path", "length")
+def list_files(spark: SparkSession, root: str, *endings: str) -> DataFrame:
+    """``(path, length)`` of the files below a folder; file content is never read.
+
+    Listed by Hadoop, as Spark's sources pass over names that start with ``_`` or a dot.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    above = len(system.makeQualified(folder).toString().rstrip("/")) + 1
+    found = system.listFiles(folder, True)
+    rows = []
+    while found.hasNext():
+        status = found.next()
+        path = status.getPath().toString()
+        staged = any(part.startswith(STAGING_PREFIX) for part in path[above:].split("/")[:-1])
+        if path.endswith(endings or "") and not staged:
+            rows.append((path, status.getLen()))
+    return spark.createDataFrame(rows, "path string, length long")
+
+
+def readable_path(spark: SparkSession, path: str) -> str:
+    """A path that Spark's sources read: a file with a hidden name is copied to another name."""
+    name = path.rsplit("/", 1)[-1]
+    source = spark._jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    system = source.getFileSystem(conf)
+    if not name.startswith(("_", ".")) or not system.getFileStatus(source).isFile():
+        return path
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{new_workspace(spark, 'hidden')}/file{name}")
+    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(
+        system, source, target.getFileSystem(conf), target, False, conf
     )
+    return target.toString()
 
 
 def discover_files(spark: SparkSession, root: str) -> DataFrame:
@@ -37,7 +62,7 @@ def discover_files(spark: SparkSession, root: str) -> DataFrame:
     counts as the single file ``x.csv`` / ``x.txt``. All ``.csv`` files come
     before all ``.txt`` files, by path within each kind.
     """
-    files = list_files(spark, root, "*.{csv,txt}")
+    files = list_files(spark, root, ".csv", ".txt")
     parent = F.regexp_extract("path", r"(?s)^(.*\.(?:csv|txt))/part-[^/]*$", 1)
     logical = files.withColumn("file", F.when(parent != "", parent).otherwise(F.col("path")))
     name = F.substring_index("file", "/", -1)
