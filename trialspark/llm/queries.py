@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from trialspark.llm import (
     decontamination,
+    fill_in_middle,
+    hard_negatives,
     language,
+    line_dedup,
     line_rules,
     near_dedup,
     pieces,
@@ -194,3 +197,104 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     model = line_rules.fit(labelled_texts(spark, folder, "quality"))
     return line_rules.judge(_texts(spark, folder), model).drop("text")
+
+
+@_query
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.without_frequent_lines(_texts(spark, folder)).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256")
+    )
+
+
+ORACLES["op11_line_dedup"] = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), lines AS (
+  SELECT r, doc_id, unnest(range(1, len(lines) + 1)) AS place, unnest(lines) AS line FROM texts
+), keyed AS (
+  SELECT *, translate(
+    trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), frequent AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
+), marked AS (
+  SELECT k.r, k.doc_id, k.place, k.line, f.key IS NOT NULL AS dropped FROM keyed AS k LEFT JOIN frequent AS f USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY r, doc_id
+"""
+
+
+@_query
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    found = fill_in_middle.cut(_texts(spark, folder))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.encode("output", "UTF-8"), 256).alias("output_sha256"),
+        F.sha2(F.encode(back, "UTF-8"), 256).alias("restored_sha256"),
+    )
+
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents
+), draws AS (
+  SELECT *, [CAST('0x' || substr(hex, 1 + 8 * i, 8) AS UBIGINT) FOR i IN range(0, 4)] AS h, len(u) AS n FROM units
+), cuts AS (
+  SELECT *, CAST(least(h[1] % (n + 1), h[2] % (n + 1)) AS BIGINT) AS a,
+    CAST(greatest(h[1] % (n + 1), h[2] % (n + 1)) AS BIGINT) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+           OR h[3] % 100 >= 100 THEN 'plain'
+         WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM draws
+), parts AS (
+  SELECT *, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle,
+    array_to_string(u[b + 1 : n], '') AS suffix FROM cuts
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@_query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.usable(_table(spark, folder, "embeddings").withColumn("label", relabelled))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+ORACLES["op13_hard_negatives"] = r"""
+WITH points AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS p
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT a.id AS anchor_id, b.id, a.label = b.label AS same,
+    CAST(list_dot_product(a.p, b.p) AS BIGINT) AS score
+  FROM points AS a JOIN points AS b ON a.id <> b.id WHERE a.id % 100 = 0
+), positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
