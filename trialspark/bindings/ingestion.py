@@ -18,8 +18,10 @@ from trialspark.plans.fetch import fetch_manifest
 from trialspark.plans.load import load_folder
 from trialspark.plans.store import FolderStore
 from trialspark.session import new_workspace
-from trialspark.sources.archives import resolve, expand_archives
+from trialspark.sources.archives import expand_archives
 from trialspark.sources.catalog_pages import TABLE_ID, extract_datasets
+from trialspark.sources.discovery import list_files
+from trialspark.sources.files import copy_files, resolve
 
 # Text as other programs export it: quotes doubled, blanks and line ends kept.
 _EXPORT = {
@@ -72,18 +74,11 @@ def ingest_comma(spark: SparkSession, folder: str) -> DataFrame:
     return _load_back(spark, {"orders.csv": orders}, "orders")
 
 
-@query(
-    """SELECT conv_id, turn, role, replace(replace(text, chr(13), ' '), chr(10), ' ') AS text
-    FROM conversations"""
-)
+@query("SELECT conv_id, turn, role, nullif(text, '') AS text FROM conversations")
 def ingest_utf16(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations").select(
-        # A byte-order mark in front of the header makes each part file start with FF FE.
-        F.col("conv_id").alias("\ufeffconv_id"),
-        "turn",
-        "role",
-        F.translate("text", "\r\n", "  ").alias("text"),
-    )
+    """Turns as UTF-16 text, with line ends, separators and quotes inside quoted fields."""
+    # A byte-order mark in front of the header makes each part file start with FF FE.
+    turns = table(spark, folder, "conversations").withColumnRenamed("conv_id", "\ufeffconv_id")
     return _load_back(spark, {"turns.txt": turns}, "turns", sep="|", encoding="UTF-16LE")
 
 
@@ -140,6 +135,9 @@ def harmonize_columns(spark: SparkSession, folder: str) -> DataFrame:
         (SELECT count(*) FROM supplier), 0
     UNION ALL SELECT 'Subjects.txt', 'subjects', 'utf-16', '|', 'loaded', NULL,
         (SELECT count(*) FROM customer), 0
+    UNION ALL SELECT '_Regions.csv', 't__regions', 'utf-8', ',', 'loaded', NULL, (SELECT count(*) FROM region), 0
+    UNION ALL SELECT 'Parts.csv', 'parts', 'utf-8', ',', 'loaded', NULL, (SELECT count(*) FROM part), 0
+    UNION ALL SELECT '.texts.csv', 't_.texts', 'utf-8', ',', 'loaded', NULL, (SELECT count(*) FROM documents), 0
     )"""
 )
 def load_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,6 +161,12 @@ def load_report(spark: SparkSession, folder: str) -> DataFrame:
     subjects = table(spark, folder, "customer")
     marked = subjects.withColumnRenamed("c_custkey", "\ufeffc_custkey")
     export(marked, "b/Subjects.txt", sep="|", encoding="UTF-16LE")
+    # Names that Spark's own sources pass over: a single file, a folder, and a file in one.
+    export(table(spark, folder, "region").coalesce(1), "../aside.csv")
+    parts = list_files(spark, f"{work}/aside.csv", ".csv").where(F.col("path").contains("/part-"))
+    copy_files(spark, {row["path"]: f"{work}/in/c/_Regions.csv" for row in parts.collect()})
+    export(table(spark, folder, "part"), "_d/Parts.csv")
+    export(table(spark, folder, "documents"), ".h/_e/.texts.csv")
     report = load_folder(spark, f"{work}/in", FolderStore(spark, f"{work}/tables"))
     name = F.substring_index("path", "/", -1).alias("name")
     return report.select(name, *(c for c in report.columns if c != "path"))
@@ -269,15 +273,40 @@ def catalog_extract(spark: SparkSession, folder: str) -> DataFrame:
     return extract_datasets(pages, "page_id")
 
 
+# Archives of each kind that the report is made of.
+N_ARCHIVES = 8
+
+
+def _zipped(members: dict[str, bytes], damaged: bool = False) -> bytes:
+    """A small archive; ``damaged`` spoils the content of its last member."""
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_STORED) as zipped:
+        for name, content in members.items():
+            zipped.writestr(name, content)
+    data = held.getvalue()
+    if damaged:
+        at = data.rindex(content)
+        data = data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :]
+    return data
+
+
 def _write_archives(df: DataFrame, root: str) -> DataFrame:
-    """One zip with one CSV per partition, and a broken archive next to each."""
+    """One zip with one CSV per partition, and next to it archives that go wrong in every way."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         system, path = resolve(root)
-        system.create_dir(path, recursive=True)
-        with system.open_output_stream(f"{path}/broken-{part}.zip") as sink:
-            sink.write(b"no archive")
+        beside = {
+            f"broken-{part}.zip": b"no archive",
+            f"empty-{part}.zip": _zipped({}),
+            f"damaged-{part}.zip": _zipped({"good.txt": b"good", "bad.txt": b"spoiled"}, damaged=True),
+            f"done-{part}.zip": _zipped({"new.txt": b"new"}),
+            f"done-{part}/old.txt": b"old",
+        }
+        system.create_dir(f"{path}/done-{part}", recursive=True)
+        for name, content in beside.items():
+            with system.open_output_stream(f"{path}/{name}") as sink:
+                sink.write(content)
         written = 0
         with (
             system.open_output_stream(f"{path}/export {part}.zip") as sink,
@@ -290,10 +319,11 @@ def _write_archives(df: DataFrame, root: str) -> DataFrame:
                 written += len(batch)
         yield pd.DataFrame({"n": [written]})
 
-    return df.mapInPandas(write, "n long")
+    return df.repartition(N_ARCHIVES).mapInPandas(write, "n long")
 
 
-@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+@query(
+    "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     name="expand_archives",
 )
 def archive_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -309,17 +339,33 @@ def archive_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("SELECT 'extracted' AS status, (SELECT count(*) FROM orders) AS n_rows")
+@query(
+    f"""SELECT * FROM (VALUES
+        ('extracted', 'export', {N_ARCHIVES}, {N_ARCHIVES}, NULL),
+        ('extracted', 'empty', {N_ARCHIVES}, 0, NULL),
+        ('failed', 'broken', {N_ARCHIVES}, 0, 'Bad Zip File'),
+        ('failed', 'damaged', {N_ARCHIVES}, {N_ARCHIVES}, 'Bad Zip File'),
+        ('held_back', 'damaged', {N_ARCHIVES}, {N_ARCHIVES}, NULL),
+        ('skipped', 'done', {N_ARCHIVES}, 0, NULL)
+    ) AS outcome(status, kind, n_archives, n_members, error),
+    (SELECT count(*) AS n_rows FROM orders) AS unpacked"""
+)
 def archive_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Line counts of the unpacked members; broken archives are reported apart."""
+    """Every outcome an archive or a member can have, beside the number of unpacked rows."""
     orders = table(spark, folder, "orders")
     work = new_workspace(spark, "archives")
     _write_archives(orders, work).agg(F.sum("n")).first()
-    report = expand_archives(spark, work).where("status = 'extracted'")
+    report = expand_archives(spark, work)
     lines = (
         spark.read.options(recursiveFileLookup=True, pathGlobFilter="rows-*.csv", header=True)
         .schema("o_orderkey long")
         .csv(work)
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
-    return report.select("status").distinct().select("status", lines.scalar().alias("n_rows"))
+    kind = F.regexp_extract("archive", r"/([a-z]+)[^/]*$", 1).alias("kind")
+    return report.groupBy("status", kind).agg(
+        F.count_distinct("archive").alias("n_archives"),
+        F.count("member").alias("n_members"),
+        F.max("error").alias("error"),
+        F.max(lines.scalar()).alias("n_rows"),
+    )

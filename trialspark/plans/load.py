@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from trialspark.operators.harmonize import DEFAULT_SYNONYMS, harmonize
 from trialspark.plans.store import TableStore
 from trialspark.sources.delimited import profile, scan, sniff
-from trialspark.sources.discovery import discover_files, readable_path
+from trialspark.sources.discovery import discover_files, readable_paths
 
 REPORT_SCHEMA = (
     "path string, table string, encoding string, sep string, status string, "
@@ -33,14 +33,16 @@ def load_folder(
     several files with one table name the first that loads wins. A file that
     cannot be loaded is reported and the rest go on.
 
-    The driver holds file names only; each file is sniffed, profiled and written
+    Executors list the folder. The driver holds file names only; each file is sniffed, profiled and written
     by Spark jobs, and several files are in flight at a time.
     """
     plan = discover_files(spark, root).orderBy("table", "load_order").collect()
+    single = [file["path"] for file in plan if file["first_part"] == file["path"]]
+    copies = readable_paths(spark, single)
     by_table = [list(files) for _, files in groupby(plan, key=lambda file: file["table"])]
 
     def load_table(files: list[Row]) -> list[tuple]:
-        return [_load_file(spark, file, store, synonyms) for file in files]
+        return [_load_file(spark, file, copies, store, synonyms) for file in files]
 
     with ThreadPoolExecutor(max_workers=concurrent_tables) as pool:
         tasks = [pool.submit(inheritable_thread_target(spark)(load_table), fs) for fs in by_table]
@@ -51,14 +53,15 @@ def load_folder(
 def _load_file(
     spark: SparkSession,
     file: Row,
+    copies: Mapping[str, str],
     store: TableStore,
     synonyms: Mapping[str, Sequence[str]],
 ) -> tuple:
     path, table = file["path"], file["table"]
     layout = None
     try:
-        readable = readable_path(spark, path)
-        layout = sniff(spark, readable, readable if readable != path else file["first_part"])
+        readable = copies.get(path, path)
+        layout = sniff(spark, readable, readable if path in copies else file["first_part"])
         if store.exists(table):
             return (path, table, layout.encoding, layout.sep, "skipped", None, None, None)
         found = profile(spark, layout)

@@ -17,22 +17,13 @@ from pyspark.sql import functions as F
 
 from trialspark.session import ensure_checkpoint_dir
 from trialspark.sources.discovery import STAGING_PREFIX, list_files
+from trialspark.sources.files import CHUNK, resolve
 
 BAD_ZIP = "Bad Zip File"
-CHUNK = 1 << 20
 
 _MEMBER_SCHEMA = "archive string, target string, member string, n_bytes long, error string"
 
 
-def resolve(uri: str) -> tuple[fs.FileSystem, str]:
-    """Arrow file system and path of a URI as Spark prints it (``file:/x``, ``hdfs://..``)."""
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[len("file:") :].lstrip("/")
-    if uri.startswith("/"):
-        return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
-
-
 def _safe_member(name: str) -> str | None:
     """Relative path of a member, never outside the target folder; None for a folder."""
     parts = [part for part in name.replace("\\", "/").split("/") if part not in ("", ".", "..")]
@@ -142,7 +133,8 @@ def expand_archives(spark: SparkSession, root: str) -> DataFrame:
     often the result is used.
     """
     ensure_checkpoint_dir(spark)
-    archives = list_files(spark, root, ".zip").select(
+    files = list_files(spark, root)
+    archives = files.where(F.endswith("path", F.lit(".zip"))).select(
         F.col("path").alias("archive"),
         F.regexp_replace("path", r"\.zip$", "").alias("target"),
     )
@@ -152,7 +144,7 @@ def expand_archives(spark: SparkSession, root: str) -> DataFrame:
         F.sequence(F.lit(1), F.size(levels) - 1),
         lambda n: F.array_join(F.slice(levels, F.lit(1), n), "/"),
     )
-    present = list_files(spark, root).select(F.explode(parents).alias("target")).distinct()
+    present = files.select(F.explode(parents).alias("target")).distinct()
     todo = archives.join(present, "target", "left_anti").select("archive", "target")
     skipped = archives.join(present, "target", "left_semi").select(
         "archive",

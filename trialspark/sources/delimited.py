@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from trialspark.operators.harmonize import unique_headers
 from trialspark.sources.discovery import literal_path
+from trialspark.sources.quoted import Blocks, Marks, find_blocks, quoted_records
 
 UTF16_BOM = b"\xff\xfe"
 BOM = "\ufeff"
@@ -60,6 +61,7 @@ class Profile:
     kinds: tuple[str, ...]
     n_ragged: int
     n_blank: int
+    blocks: Blocks | None = None
 
 
 class UndecodableText(ValueError):
@@ -124,11 +126,12 @@ def _quote_counts(sep: str) -> list[Column]:
     line, edge = F.col("line"), re.escape(sep)
     counts = [F.count_if(line.contains('"')).alias("n_plain")]
     for name, mark in (("double", '"'), ("single", "'")):
+        # A plain search comes first, as most lines hold no quote at all.
         escaped = rf"\\{mark}([^{mark}{edge}\r]|{mark}({edge}|\r?$))"
         doubled = rf"[^{mark}{edge}\\]{mark}{mark}|{mark}{mark}[^{mark}{edge}\r]"
-        counts.append(F.count_if(line.rlike(escaped)).alias(f"n_escaped_{name}"))
-        counts.append(F.count_if(line.rlike(doubled)).alias(f"n_doubled_{name}"))
-    opens, ends = line.rlike(rf"(^|{edge})'"), line.rlike(rf"'({edge}|\r?$)")
+        counts.append(F.count_if(line.contains(f"\\{mark}") & line.rlike(escaped)).alias(f"n_escaped_{name}"))
+        counts.append(F.count_if(line.contains(mark * 2) & line.rlike(doubled)).alias(f"n_doubled_{name}"))
+    opens, ends = line.contains("'") & line.rlike(rf"(^|{edge})'"), line.rlike(rf"'({edge}|\r?$)")
     odd = _count_of(line, "'") % 2 == 1
     counts.append(F.count_if(opens & ends & ~odd).alias("n_closed"))
     counts.append(F.count_if(opens & odd).alias("n_open"))
@@ -284,9 +287,14 @@ def _parse_options(layout: Layout) -> dict[str, str]:
     }
 
 
-def _records(spark: SparkSession, layout: Layout, header: bool, multi_line: bool) -> DataFrame:
+def _records(
+    spark: SparkSession, layout: Layout, header: bool, multi_line: bool, blocks: Blocks | None = None
+) -> DataFrame:
     """Fields of every record as text columns ``c0..``; ragged ones in ``_malformed``."""
     schema = _row_schema(layout.width)
+    if blocks is not None:
+        options = {**_parse_options(layout), "multiLine": "true", "lineSep": "\n"}
+        return quoted_records(spark, blocks, header).select(F.from_csv("line", schema, options).alias("r")).select("r.*")
     if multi_line:
         return (
             spark.read.schema(schema)
@@ -332,11 +340,11 @@ def _settle_kinds(records: DataFrame, columns: list[str]) -> dict[str, str]:
 
 def _open_quote(layout: Layout) -> Column:
     """True for a line that ends inside a quoted field (or holds a stray quote)."""
-    line = F.col("line")
+    line, has_quote = F.col("line"), F.col("line").contains(layout.quote)
     if layout.escape != layout.quote:
         for escaped in (layout.escape, layout.quote):
             line = F.replace(line, F.lit(layout.escape + escaped), F.lit(""))
-    return _count_of(line, layout.quote) % 2 == 1
+    return has_quote & (_count_of(line, layout.quote) % 2 == 1)
 
 
 @dataclass(frozen=True)
@@ -413,8 +421,11 @@ def profile(spark: SparkSession, layout: Layout, settled: bool = False) -> Profi
         if found != layout:
             return profile(spark, found, settled=True)
         multi_line = bool(seen["open_quote"])
+    blocks = None
     if multi_line:
-        records = _records(spark, layout, header=True, multi_line=True)
+        marks = Marks(layout.sep, layout.quote, layout.escape, layout.encoding == "utf-16")
+        blocks = find_blocks(spark, literal_path(layout.path), marks)
+        records = _records(spark, layout, header=True, multi_line=True, blocks=blocks)
         preview = _preview(records, layout, columns)
         replaced = [F.coalesce(F.col(name).contains(REPLACEMENT), F.lit(False)) for name in columns]
         checks = [F.bool_or(reduce(Column.__or__, replaced)).alias("replaced")]
@@ -432,7 +443,8 @@ def profile(spark: SparkSession, layout: Layout, settled: bool = False) -> Profi
         kinds = {name: kind_of(first[name]) for name in columns}
         header = all(kind == TEXT for kind in kinds.values())
     n_blank = 0 if multi_line else _blank_rows(spark, layout)
-    return Profile(layout, header, multi_line, tuple(kinds[c] for c in columns), seen["n_ragged"], n_blank)
+    kinds_found = tuple(kinds[c] for c in columns)
+    return Profile(layout, header, multi_line, kinds_found, seen["n_ragged"], n_blank, blocks)
 
 
 def _is_header(spark: SparkSession, cells: dict[str, str | None], kinds: dict[str, str]) -> bool:
@@ -462,7 +474,7 @@ def scan(spark: SparkSession, found: Profile) -> DataFrame:
         if found.header
         else [f"column{i}" for i in range(layout.width)]
     )
-    records = _records(spark, layout, found.header, found.multi_line)
+    records = _records(spark, layout, found.header, found.multi_line, found.blocks)
     table = records.select(
         *(
             typed(F.col(_field(i)), kind).alias(name)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.functions.text import file_stem, table_name
 from trialspark.session import new_workspace
+from trialspark.sources.files import copy_files, files_below, qualified
 
 # Files that are never data, and folders of archives not yet unpacked.
 HIDDEN_PREFIX = "._"
@@ -22,37 +25,25 @@ def literal_path(path: str) -> str:
 
 
 def list_files(spark: SparkSession, root: str, *endings: str) -> DataFrame:
-    """``(path, length)`` of the files below a folder; file content is never read.
+    """``(path, length)`` of the files below a folder, listed by the executors.
 
-    Listed by Hadoop, as Spark's sources pass over names that start with ``_`` or a dot.
+    Names that start with ``_`` or a dot count, which Spark's sources pass over; what an
+    archive is being unpacked into does not.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    above = len(system.makeQualified(folder).toString().rstrip("/")) + 1
-    found = system.listFiles(folder, True)
-    rows = []
-    while found.hasNext():
-        status = found.next()
-        path = status.getPath().toString()
-        staged = any(part.startswith(STAGING_PREFIX) for part in path[above:].split("/")[:-1])
-        if path.endswith(endings or "") and not staged:
-            rows.append((path, status.getLen()))
-    return spark.createDataFrame(rows, "path string, length long")
-
-
-def readable_path(spark: SparkSession, path: str) -> str:
-    """A path that Spark's sources read: a file with a hidden name is copied to another name."""
-    name = path.rsplit("/", 1)[-1]
-    source = spark._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark._jsc.hadoopConfiguration()
-    system = source.getFileSystem(conf)
-    if not name.startswith(("_", ".")) or not system.getFileStatus(source).isFile():
-        return path
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{new_workspace(spark, 'hidden')}/file{name}")
-    spark._jvm.org.apache.hadoop.fs.FileUtil.copy(
-        system, source, target.getFileSystem(conf), target, False, conf
-    )
-    return target.toString()
+    files = files_below(spark, root)
+    above = len(qualified(spark, root).rstrip("/")) + 1
+    staged = F.contains(F.concat(F.lit("/"), F.substring("path", above + 1, 1 << 30)), F.lit(f"/{STAGING_PREFIX}"))
+    wanted = reduce(Column.__or__, (F.endswith("path", F.lit(ending)) for ending in endings), F.lit(not endings))
+    return files.where(wanted & ~staged)
+
+
+def readable_paths(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """For each single file with a hidden name a copy that Spark's sources read, made by the executors."""
+    hidden = [path for path in paths if path.rsplit("/", 1)[-1].startswith(("_", "."))]
+    folder = new_workspace(spark, "hidden") if hidden else ""
+    copies = {path: f"{folder}/{i}/file{path.rsplit('/', 1)[-1]}" for i, path in enumerate(hidden)}
+    copy_files(spark, copies)
+    return copies
 
 
 def discover_files(spark: SparkSession, root: str) -> DataFrame:
