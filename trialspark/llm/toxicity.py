@@ -1,4 +1,8 @@
-"""Toxicity: character n-grams scaled by naive Bayes log-count ratios, then a linear classifier."""
+"""Toxicity: character n-grams scaled by naive Bayes log-count ratios, then a linear classifier.
+
+A feature of the classifier is an n-gram whose ratio is more than ``MARGIN`` standard errors
+from none in the training rows; its value is the plain smoothed log-count ratio.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,7 @@ from trialspark.llm.hashed_linear import FEATURES, Settings, lists, sampled, sig
 from trialspark.llm.stored import stored
 
 SIZES = (4, 5)
-MARGIN = 2.5
+MARGIN = 3.0
 SETTINGS = Settings(n_buckets=1 << 20, l1=0.01)
 _PART_BYTES = 1 << 19
 
@@ -60,7 +64,7 @@ def grams(batch: pa.RecordBatch, n_buckets: int, wanted: np.ndarray | None = Non
 
 
 def log_count_ratios(labelled: DataFrame, s: Settings = SETTINGS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets whose smoothed log ratio of document counts exceeds ``MARGIN`` standard errors, and the excess."""
+    """Buckets that tell the labels apart, in order, and their smoothed log ratios of document shares."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, s.n_buckets), np.int64)
@@ -83,9 +87,10 @@ def log_count_ratios(labelled: DataFrame, s: Settings = SETTINGS) -> tuple[np.nd
     )
     ratio = F.log((F.col("positive") + 1) / (n1 + 2)) - F.log((F.col("negative") + 1) / (n0 + 2))
     error = F.sqrt(1 / (F.col("positive") + 1) + 1 / (F.col("negative") + 1))
-    excess = F.signum(ratio) * (F.abs(ratio) - MARGIN * error)
-    rows = counts.where(F.abs(ratio) > MARGIN * error).select("bucket", excess).orderBy("bucket").collect()
-    return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+    # Packed: the driver gets two arrays of at most ``n_buckets`` numbers, not a row object each.
+    rows = counts.where(F.abs(ratio) > MARGIN * error).select("bucket", ratio.alias("ratio")).toArrow()
+    order = np.argsort(np.asarray(rows.column("bucket")))
+    return np.asarray(rows.column("bucket"))[order], np.asarray(rows.column("ratio"))[order]
 
 
 def fit(labelled: DataFrame, s: Settings = SETTINGS) -> Model:
@@ -97,11 +102,12 @@ def fit(labelled: DataFrame, s: Settings = SETTINGS) -> Model:
     columns = (F.col("doc_id").cast("long"), F.col("label").cast("int"), "shard", "text")
     rows = stored(known.select(*columns), "labelled")
     buckets, ratios = log_count_ratios(rows, s)
+    scaling = labelled.sparkSession.sparkContext.broadcast((buckets, ratios))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", _PART_BYTES):
-                owner, place, amount = _scaled(part, buckets, ratios, s.n_buckets)
+                owner, place, amount = _scaled(part, *scaling.value, s.n_buckets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(part.column(name) for name in ("doc_id", "label", "shard")),
