@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round hangs the larger neighbours of every node on its least neighbour,
     then the smaller ones, and ends when no edge changes (a logarithmic number of
-    rounds). Nodes with very many edges fold to their minimum before the shuffle.
+    rounds). A node may have any share of all edges.
     Self edges, repeated edges and nulls change nothing; no edges give no rows.
     """
     current = stored(
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     state = _state(current)
     while True:
-        current = stored(_small_star(_large_star(current)), "edges")
+        large = stored(_large_star(current, state[0]), "edges")
+        current = stored(_small_star(large, state[0]), "edges")
         before, state = state, _state(current)
         if state == before:
             break
@@ -36,15 +37,35 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+# Nodes with at least one in so many edge ends are broadcast with their least neighbour.
+HEAVY_NODES = 10_000
+
+
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """``(u, v, m)``: every edge with the least neighbour of its ``u``; ``total``: edges at most.
+
+    Least neighbours fold before the shuffle. Nodes with many edges, of which there can be
+    no more than ``HEAVY_NODES``, get theirs by broadcast, so no node's edges meet in one task.
+    """
+    stats = edges.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n"))
+    is_heavy = F.col("n") * HEAVY_NODES >= total
+    heavy = stats.where(is_heavy).select("u", F.col("least").alias("heavy"))
+    light = stats.where(~is_heavy).select(F.col("u").alias("node"), F.col("least").alias("light"))
+    known = edges.join(F.broadcast(heavy), "u", "left")
+    # Edges that know their node's least are dealt out by their own hash.
+    node = F.when(F.col("heavy").isNull(), F.col("u")).otherwise(F.xxhash64("u", "v"))
+    joined = known.withColumn("node", node).join(light, "node", "left")
+    return joined.select("u", "v", F.coalesce("heavy", "light").alias("m"))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
-    hung = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _with_least(both, 2 * n).withColumn("m", F.least("u", "m"))
+    hung = least.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hung = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    least = _with_least(edges, n)
+    hung = least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()

@@ -5,15 +5,20 @@
    packed into a sketch of 48 or 64 bytes.
 2. Documents with one and the same set form a class with its least id as
    representative (aggregated map-side, so a class may hold any share of all rows).
-3. Representatives that share a band key are candidates. Inside a band bucket the
-   sketches are compared by bit counts, corrected for chance agreement; only a
-   spanning forest of the pairs that may be similar leaves the task. Buckets are cut
-   into chunks by a hash, each pair of chunks is one task's group, so no group
-   grows with the bucket and no pair is left out.
-4. Candidate clusters (components of 3) are cut into blocks in the same way; each
-   block confirms every pair on the full sets and emits a spanning forest of links.
+3. Representatives that share a band key are candidates. Inside a bucket of up to 512 the
+   sketches are compared by bit counts, corrected for chance agreement, and a spanning
+   forest of the pairs that may be similar leaves the task. A larger bucket is taken as one
+   cluster of candidates as it is: a chain of its members, however many.
+4. Candidate clusters (components of 3) are confirmed on the full sets, block by block. A
+   cluster of more than one chunk first meets its chunk 0 alone, so each text is sent about
+   twice however large the cluster is, and most members hang together after that. Only
+   members outside the largest part found so far then meet all others.
 5. Components of the confirmed links.
 
+A pair that has met neither inside its chunk nor through chunk 0 is missed by no step: two
+texts in one part are in one component already, and of two texts in different parts at
+least one is outside the largest part and meets the other in the second pass.
+
 The number of bands and the sketch's bar follow from the threshold: two documents at it
 share no band with a chance of at most 5e-8, and fall below the bar with one of at most
 5e-9; everything else is exact, up to 64-bit hash collisions of shingles.
@@ -27,7 +32,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialspark.llm.arrays import LOWER, U64, least_labels, mix, runs, shingles, slices, text_bytes
@@ -224,50 +229,86 @@ def _confirmed(min_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return lambda batches: _emit(found(batches))
 
 
-def _in_blocks(df: DataFrame, chunks: str, *keys: str) -> DataFrame:
-    """Each row once for every pair of chunks that holds its own; ``chunks``: chunks of its group."""
-    own = F.pmod(F.xxhash64("doc_id"), F.col(chunks))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(chunks) - 1))
-    return (
-        df.withColumn("own", own)
-        .withColumn("other", other)
-        .withColumn("block_a", F.least("own", "other"))
-        .withColumn("block_b", F.greatest("own", "other"))
-        .drop("own", "other", chunks)
-        .repartition(*keys, "block_a", "block_b")
-        .sortWithinPartitions(*keys, "block_a", "block_b")
-    )
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of one group next to each other."""
+    return df.repartition(*keys).sortWithinPartitions(*keys)
 
 
 def candidate_edges(signed: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
-    """Spanning forests ``(a, b)`` of the pairs in each band bucket whose sketches may be similar."""
-    banded = signed.where("n_shingles > 0").select("doc_id", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / BUCKET_CHUNK).alias("chunks")
-    members = banded.join(buckets.select("key", chunks), "key")
-    sketched = members.join(signed.where("n_shingles > 0").select("doc_id", "sketch"), "doc_id")
-    blocks = _in_blocks(sketched, "chunks", "key").select(
-        "key", "block_a", "block_b", "doc_id", "sketch"
+    """Edges ``(a, b)`` whose components hold every pair in a band bucket whose sketches may be similar."""
+    full = signed.where("n_shingles > 0")
+    banded = full.select("doc_id", F.explode("bands").alias("key"))
+    buckets = stored(
+        banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1"), "buckets"
     )
-    return blocks.mapInArrow(_similar_sketches(sketch_bar(min_percent)), "a long, b long")
+    small = banded.join(buckets.where(F.col("n") <= BUCKET_CHUNK).select("key"), "key")
+    sketched = small.join(full.select("doc_id", "sketch"), "doc_id")
+    groups = _dealt(
+        sketched.select("key", F.lit(0).cast("long").alias("block_a"), F.lit(0).cast("long").alias("block_b"), "doc_id", "sketch"),
+        "key",
+    )
+    compared = groups.mapInArrow(_similar_sketches(sketch_bar(min_percent)), "a long, b long")
+    # At most one such bucket in every BUCKET_CHUNK entries; AQE splits its rows in the join.
+    large = buckets.where(F.col("n") > BUCKET_CHUNK).select("key", "least")
+    return compared.union(banded.join(large, "key").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+
+
+def _numbered(members: DataFrame, chunks: str) -> DataFrame:
+    return members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col(chunks)))
+
+
+def _blocks(rows: DataFrame, min_percent: int) -> DataFrame:
+    """Links of ``rows(cluster, block_a, block_b, doc_id, text)`` inside each block."""
+    columns = rows.select("cluster", "block_a", "block_b", "doc_id", "text")
+    return _dealt(columns, "cluster", "block_a", "block_b").mapInArrow(_confirmed(min_percent), "a long, b long")
+
+
+def _chunks_of(members: DataFrame, *by: str) -> DataFrame:
+    """Chunks of bounded numbers of documents and shingles for each group of members."""
+    by_size = F.greatest(F.ceil(F.count("*") / BLOCK_DOCUMENTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    return members.groupBy(*by).agg(by_size.alias("chunks"))
 
 
 def confirmed_edges(
     docs: DataFrame, sizes: DataFrame, clusters: DataFrame, min_percent: int = MIN_PERCENT
 ) -> DataFrame:
-    """Spanning forests ``(a, b)`` of the pairs in each cluster that are similar on full sets."""
-    members = clusters.join(sizes, clusters["id"] == sizes["doc_id"]).drop("doc_id")
-    loads = members.groupBy("component").agg(
-        F.greatest(
-            F.ceil(F.count("*") / BLOCK_DOCUMENTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)
-        ).alias("chunks")
-    )
-    wanted = clusters.join(loads, "component").withColumnRenamed("component", "cluster")
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("id")).drop("id")
-    blocks = _in_blocks(texts, "chunks", "cluster").select(
-        "cluster", "block_a", "block_b", "doc_id", "text"
+    """Links ``(a, b)`` on full sets, with the components of all similar pairs in each cluster."""
+    members = clusters.join(sizes, clusters["id"] == sizes["doc_id"]).select(
+        F.col("component").alias("cluster"), "doc_id", "n_shingles"
     )
-    return blocks.mapInArrow(_confirmed(min_percent), "a long, b long")
+    numbered = stored(_numbered(members.join(_chunks_of(members, "cluster"), "cluster"), "chunks"), "members")
+    last = F.col("chunks") - 1
+    # Chunk 0 meets every chunk, itself included where it is the only one.
+    others = F.when(F.col("own") == 0, F.sequence(F.least(F.lit(1).cast("long"), last), last)).otherwise(F.array("own"))
+    first = numbered.select("cluster", "doc_id", F.lit(0).cast("long").alias("block_a"), F.explode(others).alias("block_b"))
+    texts = docs.select("doc_id", "text")
+    links = _blocks(texts.join(first, "doc_id"), min_percent)
+    large = numbered.where("chunks > 1")
+    if large.isEmpty():
+        return links
+    links = stored(links, "links")
+    return links.union(_between_parts(texts, large, links, min_percent))
+
+
+def _between_parts(texts: DataFrame, members: DataFrame, links: DataFrame, min_percent: int) -> DataFrame:
+    """Links of the members outside the largest part of each cluster to all its members."""
+    known = links.join(members.select(F.col("doc_id").alias("a")), "a", "left_semi")
+    parts = connected_components(known).withColumnRenamed("id", "doc_id")
+    placed = members.join(parts, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
+    sizes = placed.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    placed = stored(placed.join(largest, "cluster"), "parts")
+    outside = placed.where("part <> largest").select("cluster", "doc_id", "n_shingles")
+    counts = _chunks_of(outside, "cluster").select("cluster", F.col("chunks").alias("out_chunks"))
+    rest = _numbered(outside.join(counts, "cluster"), "out_chunks")
+    every = placed.join(counts, "cluster")
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("block_b")
+    out_chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_chunks") - 1)).alias("block_a")
+    totals = placed.select("cluster", "chunks").distinct()
+    rows = rest.join(totals, "cluster").select("cluster", "doc_id", F.col("own").alias("block_a"), chunk)
+    rows = rows.union(every.select("cluster", "doc_id", out_chunk, F.col("own").alias("block_b")))
+    # A member outside that stands in its own partner's chunk too is needed there once.
+    return _blocks(texts.join(rows.distinct(), "doc_id"), min_percent)
 
 
 def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
@@ -305,20 +346,14 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFram
 def without_near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each near-duplicate component left.
 
-    Of a repeated ``doc_id`` one row stays; rows with a null id all stay.
+    Of a repeated ``doc_id`` one row stays; rows with a null id all stay. Other columns go
+    through by position, whatever their names.
     """
-    kept = near_duplicates(docs, min_percent).where("kept AND doc_id IS NOT NULL").select(
-        F.col("doc_id").alias("kept_id")
-    )
-    nth = F.row_number().over(_by_id())
-    one = docs.where("doc_id IS NOT NULL").join(
-        kept.distinct(), F.col("doc_id") == F.col("kept_id"), "left_semi"
-    )
-    one = one.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return one.union(docs.where("doc_id IS NULL"))
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id").orderBy("doc_id")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain, key = docs.toDF(*names), names[docs.columns.index("doc_id")]
+    found = near_duplicates(docs.select("doc_id", "text"), min_percent)
+    kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
+    known = plain.where(F.col(key).isNotNull()).join(kept, F.col(key) == F.col("kept_id"), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    one = known.withColumn("nth", nth).where("nth = 1").drop("nth")
+    return one.union(plain.where(F.col(key).isNull())).toDF(*docs.columns)
