@@ -5,11 +5,15 @@ windows have equal anchors and only the suffixes that begin at anchors (about on
 sixteen) need to be compared. No window is skipped.
 
 1. Documents are dealt by a hash of their id into cells of about 8 MB.
-2. Cells send the distinct 64-bit hashes of their anchors to hash ranges, which answer
-   with one bit each: does another document have this anchor?
+2. Cells send the distinct 64-bit hashes of their anchors, with the number of contexts each
+   has, to hash ranges, which answer with two bits each: does another document have this
+   anchor, and does it stand in very many contexts?
 3. For shared anchors the cells send the suffix (50 bytes from the anchor on) and the
    bytes before it to range partitions. Sampled splitters over the leading eight bytes
-   bound the ranges; a hash of the anchor cuts a range further, so equal anchors meet.
+   bound the ranges. A leading word that several splitters have is cut by a hash of the
+   anchor into as many ranges, and without any splitter all ranges are cut by that hash;
+   equal anchors meet in any case. An anchor in very many contexts is sent window by
+   window instead, each dealt by a hash of its 50 bytes, so that only equal windows meet.
 4. Each range sorts its suffixes, and the reversed bytes before them, word by word
    among ties only (multikey quicksort). Runs of common prefixes in both orders give the
    windows that are equal, and the least document of each. As splitters are keys of
@@ -24,6 +28,7 @@ sent. The text is shuffled once: all steps stand in one query and reuse that exc
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +44,8 @@ PLACES = WINDOW - ANCHOR + 1
 CELL_BYTES = 8 << 20
 MAX_SPLITTERS = 4096
 SAMPLE_BYTES = 2 << 20
+# Contexts, added up over cells, from which an anchor's windows are dealt one by one.
+HOT_CONTEXTS = 2048
 
 _BEFORE, _AFTER = 32, 56
 _CHUNK = 1 << 16
@@ -163,27 +170,44 @@ class _Cell:
         self.anchor, self.first, self.last = anchor[known], first[known], last[known]
         self.value, self.text = value[known], text[known]
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct anchor hashes, and which of them two documents of this cell have."""
-        order = np.argsort(self.value)
-        value, ids = self.value[order], self.ids[self.text[order]]
-        new = np.concatenate(([True], value[1:] != value[:-1])) if len(value) else np.zeros(0, bool)
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct anchor hashes, which of them two documents of this cell have, and their contexts."""
+        padded = np.concatenate((np.zeros(8, np.uint8), self.data, np.zeros(ANCHOR + 8, np.uint8)))
+        word = _word_at_each_byte(padded, len(padded))
+        context = mix(word[self.anchor] ^ mix(word[self.anchor + 8 + ANCHOR]))
+        order = np.lexsort((context, self.value))
+        value, ids, context = self.value[order], self.ids[self.text[order]], context[order]
+        if not len(value):
+            return value, np.zeros(0, bool), np.zeros(0, np.uint32)
+        new = np.concatenate(([True], value[1:] != value[:-1]))
         starts = np.flatnonzero(new)
-        if not len(starts):
-            return value, np.zeros(0, bool)
-        return value[starts], np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts)
+        other = new | np.concatenate(([True], context[1:] != context[:-1]))
+        contexts = np.add.reduceat(other.astype(np.int64), starts).astype(np.uint32)
+        return value[starts], np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts), contexts
 
     def keep_shared(self, answers: dict[int, tuple[int, bytes]], n_buckets: int) -> None:
-        value, _ = self.distinct()
-        shared = np.zeros(len(value), bool)
+        value, _, _ = self.distinct()
+        shared, hot = np.zeros((2, len(value)), bool)
         bounds = np.searchsorted(_bucket_of(value, n_buckets), np.arange(n_buckets + 1))
         for bucket, (_, data) in answers.items():
             low, high = bounds[bucket : bucket + 2]
-            bits = np.unpackbits(np.frombuffer(data, np.uint8), count=high - low)
-            shared[low:high] = bits.astype(bool)
-        held = shared[np.searchsorted(value, self.value)] if len(value) else np.zeros(0, bool)
-        for name in ("anchor", "first", "last", "value", "text"):
+            bits = np.unpackbits(np.frombuffer(data, np.uint8)).reshape(2, -1)[:, : high - low]
+            shared[low:high], hot[low:high] = bits.astype(bool)
+        at = np.searchsorted(value, self.value)
+        held = shared[at] if len(value) else np.zeros(0, bool)
+        self.hot = hot[at][held] if len(value) else held
+        names = ("anchor", "first", "last", "value", "text")
+        for name in names:
             setattr(self, name, getattr(self, name)[held])
+        if self.hot.any():
+            # One row for each window of a hot anchor.
+            windows = np.where(self.hot, self.last - self.first + 1, 1)
+            row = np.repeat(np.arange(len(windows)), windows)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+            for name in (*names, "hot"):
+                setattr(self, name, getattr(self, name)[row])
+            self.first = self.first + np.where(self.hot, step, 0)
+            self.last = np.where(self.hot, self.first, self.last)
 
     def entries(self) -> None:
         """Distinct suffixes with the bytes before them; ``entry`` maps each anchor to its own."""
@@ -195,7 +219,7 @@ class _Cell:
         self.nearest, self.farthest = self.anchor - self.last, self.anchor - self.first
         keys = np.concatenate((_columns(after), _columns(before)))
         places = (self.nearest << 8 | self.farthest).astype(U64)
-        keys = np.concatenate((keys, places[None, :]))
+        keys = np.concatenate((keys, (places | self.hot.astype(U64) << U64(16))[None, :]))
         order = sorted_order(list(keys))
         moved = keys[:, order]
         new = np.ones(n, bool)
@@ -217,10 +241,25 @@ def _bucket_of(value: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((value >> U64(32)) * U64(n_buckets) >> U64(32)).astype(np.int64)
 
 
-def _range_of(keys: np.ndarray, splitters: np.ndarray, cuts: int) -> np.ndarray:
-    """Range by the leading eight bytes, cut further by a hash of the anchor's 20 bytes."""
+class Ranges(NamedTuple):
+    """Splitters of leading words, the parts that a hash of the anchor cuts each range into, and the parts of hot windows."""
+
+    splitters: np.ndarray
+    cuts: np.ndarray
+    hot: int
+
+
+def _range_of(keys: np.ndarray, ranges: Ranges) -> np.ndarray:
+    """Range by the leading eight bytes and a hash of the anchor's 20 bytes; hot windows by all their bytes."""
     anchor = mix(keys[0] ^ mix(keys[1] ^ mix(keys[2] >> U64(32))))
-    return np.searchsorted(splitters, keys[0], "right") * cuts + (anchor % U64(cuts)).astype(np.int64)
+    at = np.searchsorted(ranges.splitters, keys[0], "right")
+    begins = np.concatenate(([0], np.cumsum(ranges.cuts)))
+    own = begins[at] + (anchor % ranges.cuts[at].astype(U64)).astype(np.int64)
+    window = keys[-1]
+    for column in keys[:-1]:
+        window = mix(window ^ column)
+    is_hot = keys[-1] >> U64(16) > 0
+    return np.where(is_hot, begins[-1] + (window % U64(ranges.hot)).astype(np.int64), own)
 
 
 def _messages(rows: list[tuple]) -> pa.Table:
@@ -238,12 +277,12 @@ def _ask(n_buckets: int):
 
     def ask(table: pa.Table) -> pa.Table:
         cell = table.column("cell")[0].as_py()
-        value, several = _Cell(table).distinct()
+        value, several, contexts = _Cell(table).distinct()
         bucket = _bucket_of(value, n_buckets)
         starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(value) else []
         rows = []
         for low, high in zip(starts, [*starts[1:], len(value)]):
-            data = value[low:high].tobytes() + np.packbits(several[low:high]).tobytes()
+            data = value[low:high].tobytes() + contexts[low:high].tobytes() + np.packbits(several[low:high]).tobytes()
             rows.append((cell, _ASK, int(bucket[low]), int(high - low), data))
         return _messages(rows)
 
@@ -251,23 +290,25 @@ def _ask(n_buckets: int):
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """Step 2, in hash ranges: one bit for each hash asked for."""
+    """Step 2, in hash ranges: two bits for each hash asked for."""
     cells, sizes = table.column("cell").to_pylist(), table.column("n").to_pylist()
     blobs, bucket = table.column("data").to_pylist(), table.column("bucket")[0].as_py()
     value = np.concatenate([np.frombuffer(b, U64, n) for b, n in zip(blobs, sizes)])
-    several = [np.unpackbits(np.frombuffer(b, np.uint8, offset=8 * n), count=n) for b, n in zip(blobs, sizes)]
+    contexts = np.concatenate([np.frombuffer(b, np.uint32, n, offset=8 * n) for b, n in zip(blobs, sizes)])
+    several = [np.unpackbits(np.frombuffer(b, np.uint8, offset=12 * n), count=n) for b, n in zip(blobs, sizes)]
     order = np.argsort(value)
     starts = np.flatnonzero(np.concatenate(([True], value[order][1:] != value[order][:-1])))
     counts = np.diff(np.concatenate((starts, [len(value)])))
     shared = (counts > 1) | (np.maximum.reduceat(np.concatenate(several)[order], starts) > 0)
-    flags = np.empty(len(value), bool)
-    flags[order] = np.repeat(shared, counts)
+    hot = np.add.reduceat(contexts[order].astype(np.int64), starts) > HOT_CONTEXTS
+    flags, hots = np.empty((2, len(value)), bool)
+    flags[order], hots[order] = np.repeat(shared, counts), np.repeat(hot, counts)
     rows, low = [], 0
     for cell, n in zip(cells, sizes):
-        part = flags[low : low + n]
+        part, hot_part = flags[low : low + n], hots[low : low + n]
         low += n
         if part.any():
-            rows.append((cell, _ANSWER, bucket, n, np.packbits(part).tobytes()))
+            rows.append((cell, _ANSWER, bucket, n, np.packbits(part).tobytes() + np.packbits(hot_part).tobytes()))
     return _messages(rows)
 
 
@@ -284,14 +325,14 @@ def _shared_cell(docs: pa.Table, said: pa.Table, n_buckets: int) -> _Cell:
     return cell
 
 
-def _by_range(cell: _Cell, splitters: np.ndarray, cuts: int):
-    bucket = _range_of(cell.keys, splitters, cuts)
+def _by_range(cell: _Cell, ranges: Ranges):
+    bucket = _range_of(cell.keys, ranges)
     order = np.argsort(bucket, kind="stable")
     bounds = np.flatnonzero(np.diff(bucket[order])) + 1
     return [(int(bucket[part[0]]), part) for part in np.split(order, bounds) if len(part)]
 
 
-def _send(n_buckets: int, splitters: np.ndarray, cuts: int):
+def _send(n_buckets: int, ranges: Ranges):
     """Step 3: distinct entries of shared anchors, dealt to ranges of their leading bytes."""
 
     def send(docs: pa.Table, said: pa.Table) -> pa.Table:
@@ -300,7 +341,7 @@ def _send(n_buckets: int, splitters: np.ndarray, cuts: int):
         number = docs.column("cell")[0].as_py()
         cell = _shared_cell(docs, said, n_buckets)
         rows = []
-        for bucket, part in _by_range(cell, splitters, cuts):
+        for bucket, part in _by_range(cell, ranges):
             bytes_ = np.ascontiguousarray(cell.keys[:, part].T).astype(">u8").tobytes()
             data = pa.compress(bytes_ + cell.least[part].tobytes(), "zstd", asbytes=True)
             rows.append((number, _ENTRIES, bucket, len(part), data))
@@ -318,7 +359,7 @@ def _least_documents(keys: np.ndarray, least: np.ndarray) -> np.ndarray:
     ``keys``: columns of one whole group of anchors. Places an entry doesn't have are never.
     """
     after, before = list(keys[: _AFTER // 8]), list(keys[_AFTER // 8 : -1])
-    nearest, farthest = (keys[-1] >> U64(8)).astype(np.int64), (keys[-1] & U64(255)).astype(np.int64)
+    nearest, farthest = ((keys[-1] >> U64(s) & U64(255)).astype(np.int64) for s in (8, 0))
     classes = []
     for columns in (after, before):
         order = sorted_order(columns)
@@ -391,7 +432,7 @@ def _compare(table: pa.Table) -> pa.Table:
 _RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string"
 
 
-def _remove(n_buckets: int, splitters: np.ndarray, cuts: int, with_kept: bool):
+def _remove(n_buckets: int, ranges: Ranges, with_kept: bool):
     """Step 5: removed ranges of each text of a cell."""
 
     def remove(docs: pa.Table, said: pa.Table) -> pa.Table:
@@ -404,7 +445,7 @@ def _remove(n_buckets: int, splitters: np.ndarray, cuts: int, with_kept: bool):
         order = np.argsort(cell.entry, kind="stable")
         entry = cell.entry[order]
         answers = _read(said, _LEAST)
-        for bucket, part in _by_range(cell, splitters, cuts) if answers else ():
+        for bucket, part in _by_range(cell, ranges) if answers else ():
             if bucket not in answers:
                 continue
             n, data = answers[bucket]
@@ -456,8 +497,9 @@ def _kept(cell: _Cell, removed: np.ndarray, with_kept: bool) -> pa.Table:
     )
 
 
-def _splitters(docs: DataFrame, n_bytes: int, wanted: int) -> np.ndarray:
-    """Leading bytes of anchors of sampled documents, at even steps of their order."""
+def _ranges(docs: DataFrame, n_bytes: int, n_cells: int) -> Ranges:
+    """Ranges from the leading words of anchors of sampled documents, at even steps of their order."""
+    wanted = min(n_cells, MAX_SPLITTERS)
 
     def leading(batches):
         for batch in batches:
@@ -470,7 +512,11 @@ def _splitters(docs: DataFrame, n_bytes: int, wanted: int) -> np.ndarray:
     share = min(1.0, SAMPLE_BYTES / max(n_bytes, 1))
     sampled = docs.select("text").sample(share, seed=7).mapInArrow(leading, "lead long")
     lead = np.sort(np.array([row[0] for row in sampled.collect()], np.int64).view(U64))
-    return np.unique(lead[:: max(1, len(lead) // wanted)][1:]) if len(lead) else lead
+    steps = lead[:: max(1, len(lead) // wanted)][1:]
+    splitters, times = np.unique(steps, return_counts=True)
+    # The range that begins with a splitter holds all anchors with that word: cut it as often as it came.
+    cuts = np.concatenate(([1], times)) * -(-n_cells // max(1, len(steps)))
+    return Ranges(splitters, cuts.astype(np.int64), n_cells)
 
 
 def repeated_bytes(docs: DataFrame, with_kept: bool = False) -> DataFrame:
@@ -487,9 +533,7 @@ def repeated_bytes(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_cells = partitions_for(spark, n_bytes, CELL_BYTES)
-    n_splitters = min(n_cells, MAX_SPLITTERS)
-    splitters = _splitters(docs, n_bytes, n_splitters)
-    cuts = -(-n_cells // n_splitters)
+    ranges = _ranges(docs, n_bytes, n_cells)
     id_or_text = F.coalesce(F.xxhash64("doc_id"), F.lit(0)) + F.when(
         F.col("doc_id").isNull(), F.xxhash64("text") % 1_000_003
     ).otherwise(0)
@@ -499,11 +543,11 @@ def repeated_bytes(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     sent = (
         celled.groupBy("cell")
         .cogroup(answers.groupBy("cell"))
-        .applyInArrow(_send(n_cells, splitters, cuts), _MESSAGE)
+        .applyInArrow(_send(n_cells, ranges), _MESSAGE)
     )
     compared = sent.groupBy("bucket").applyInArrow(_compare, _MESSAGE).repartition("cell")
     return (
         celled.groupBy("cell")
         .cogroup(answers.union(compared).groupBy("cell"))
-        .applyInArrow(_remove(n_cells, splitters, cuts, with_kept), _RESULT)
+        .applyInArrow(_remove(n_cells, ranges, with_kept), _RESULT)
     )
