@@ -1,8 +1,15 @@
-"""Personal data: patterns propose spans, checksums confirm them, nearby words adjust a score."""
+"""Personal data: patterns propose spans, checksums confirm them, nearby words adjust a score.
+
+Candidates of the base kinds (email, ip, card, phone) count once their validator confirms
+them, whatever stands around; words nearby only move their score. All other candidates
+(account numbers and secrets, card numbers that fail their checksum among them) need words
+nearby, or the mod-97 checksum of an IBAN.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from trialspark.llm.columns import from_text, with_text
 
-KINDS = ("email", "ip", "card", "phone", "iban", "account")
+KINDS = ("email", "ip", "card", "phone", "iban", "account", "secret")
 BASE_KINDS = KINDS[:4]
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -20,15 +27,40 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}")
 _ACCOUNT = re.compile(r"(?<![0-9])[0-9]{6,13}(?![0-9])")
+_SECRET = re.compile(r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,128}(?![0-9A-Za-z_/+-])")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
-# Words that make personal data likelier, and words that make it less likely.
-_FOR = re.compile(r"(?i)\b(?:account|acct|konto|cuenta|compte|bank|iban|bic|swift|card|customer no)\b")
+# Length of account numbers by country code (ISO 13616).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18,
+    "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24,
+    "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24,
+    "XK": 20,
+}
+_IBAN_OF = {
+    n: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTHS.values())
+}
+
+# Words that make each kind likelier, and words that make all kinds less likely.
+_BANK = r"account|acct|konto|cuenta|compte|bank|iban|bic|swift|card|customer no"
+_FOR = {
+    "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write to|correo|courriel)\b"),
+    "ip": re.compile(r"(?i)\b(?:ip|address|host|server|client|login)\b"),
+    "card": re.compile(rf"(?i)\b(?:{_BANK}|visa|mastercard|credit|debit)\b"),
+    "phone": re.compile(r"(?i)\b(?:phone|tel|telephone|call|fax|mobile|cell)\b"),
+    "iban": re.compile(rf"(?i)\b(?:{_BANK})\b"),
+    "account": re.compile(rf"(?i)\b(?:{_BANK})\b"),
+    "secret": re.compile(r"(?i)\b(?:token|secret|password|passwd|pwd|bearer|api[ _-]?key|access[ _-]?key|private[ _-]?key)\b"),
+}
 _AGAINST = re.compile(r"(?i)\b(?:example|sample|order|invoice|isbn|doi|version|part no)\b")
 CONTEXT = 40
-START_SCORE = {"iban": 0.8, "account": 0.2}
+START_SCORE = {"email": 0.8, "ip": 0.8, "card": 0.8, "phone": 0.8, "iban": 0.8, "account": 0.2, "secret": 0.2}
 MIN_SCORE = 0.5
 
 
@@ -73,12 +105,13 @@ def _ips(text: str) -> Iterator[tuple[int, int]]:
             yield found.span()
 
 
-def _cards(text: str) -> Iterator[tuple[int, int]]:
+def _card_candidates(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Digit runs as long as card numbers, and whether their checksum holds."""
     for found in _CARD.finditer(text):
         if found.end() - found.start() >= 14:
             digits = _NOT_DIGIT.sub("", found.group())
-            if 14 <= len(digits) <= 19 and luhn(digits):
-                yield found.span()
+            if 14 <= len(digits) <= 19:
+                yield *found.span(), luhn(digits)
 
 
 def _phones(text: str) -> Iterator[tuple[int, int]]:
@@ -88,37 +121,76 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for found in _IBAN.finditer(text):
-        code = found.group().replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
+    for head in _IBAN_HEAD.finditer(text):
+        length = IBAN_LENGTHS.get(head.group(1))
+        found = _IBAN_OF[length].match(text, head.start()) if length else None
+        if found and mod97(found.group().replace(" ", "")):
+            yield found.span()
+
+
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Long runs that mix letters with digits, as keys and tokens do."""
+    for found in _SECRET.finditer(text):
+        run = found.group()
+        if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and len(set(run)) >= 8:
             yield found.span()
 
 
 def _scored(text: str, kind: str, start: int, end: int) -> float:
     around = text[max(0, start - CONTEXT) : start] + " " + text[end : end + CONTEXT]
     score = START_SCORE[kind]
-    score += 0.4 * bool(_FOR.search(around)) - 0.4 * bool(_AGAINST.search(around))
+    score += 0.4 * bool(_FOR[kind].search(around)) - 0.4 * bool(_AGAINST.search(around))
     return min(max(score, 0.0), 1.0)
 
 
+class _Taken:
+    """Disjoint stretches of a text that spans cover, in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end in sorted(spans):
+            if self.ends and start <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end) - 1
+        return before >= 0 and self.ends[before] > start
+
+
 def find_spans(text: str) -> list[Span]:
     """Spans by start, then kind; ends are exclusive, in characters.
 
-    The four base kinds are certain (score 1) once confirmed. The other kinds are kept
-    from ``MIN_SCORE`` on and only where they don't overlap a base span.
+    Every confirmed span of the four base kinds is kept, and its score tells how far words
+    nearby speak for it. The other kinds are kept from ``MIN_SCORE`` on, and only where
+    they overlap neither a base span nor a span of a kind before theirs. Time grows with the
+    text and the logarithm of its number of spans.
     """
-    spans = []
-    finders = (_emails, _ips, _cards, _phones)
-    for kind, finder in enumerate(finders):
-        if kind == 0 and "@" not in text or kind == 3 and "+" not in text:
-            continue
-        spans += [Span(start, kind, end, 1.0) for start, end in finder(text)]
-    extra = [(4, start, end) for start, end in _ibans(text)]
-    extra += [(5, *found.span()) for found in _ACCOUNT.finditer(text)]
-    for kind, start, end in extra:
-        score = _scored(text, KINDS[kind], start, end)
-        if score >= MIN_SCORE and not any(s.start < end and start < s.end for s in spans):
-            spans.append(Span(start, kind, end, score))
+    cards = list(_card_candidates(text))
+    base = [
+        list(_emails(text)) if "@" in text else [],
+        list(_ips(text)),
+        [(start, end) for start, end, valid in cards if valid],
+        list(_phones(text)) if "+" in text else [],
+    ]
+    spans = [
+        Span(start, kind, end, _scored(text, KINDS[kind], start, end))
+        for kind, found in enumerate(base)
+        for start, end in found
+    ]
+    numbers = sorted({found.span() for found in _ACCOUNT.finditer(text)} | {c[:2] for c in cards if not c[2]})
+    for kind, candidates in ((4, _ibans(text)), (5, numbers), (6, _secrets(text))):
+        taken, last = _Taken([(span.start, span.end) for span in spans]), 0
+        for start, end in candidates:
+            if start < last or taken.meets(start, end):
+                continue
+            score = _scored(text, KINDS[kind], start, end)
+            if score >= MIN_SCORE:
+                spans.append(Span(start, kind, end, score))
+                last = end
     return sorted(spans)
 
 
