@@ -120,6 +120,57 @@ def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     assert {r["component_id"] for r in found} == {0}
 
 
+def test_a_large_cluster_of_differing_copies(spark):
+    """5,000 copies with two or three words changed, many pairs of them just below and above the threshold."""
+    random = np.random.default_rng(2)
+    texts = {}
+    for i in range(5000):
+        words = [f"w{k}" for k in range(250)]
+        for at in random.choice(50, 2 + i % 2, replace=False):
+            words[5 * at + 2] = f"n{i}x{at}"
+        texts[i] = " ".join(words)
+    for i in range(40):
+        # Odd ones: each reached through some of the others only, or through none.
+        words = texts[i].split()
+        for at in random.choice(50, i % 8, replace=False):
+            words[5 * at + 1] = f"odd{i}x{at}"
+        texts[5000 + i] = " ".join(words)
+    sets = [shingles(texts[i]) for i in sorted(texts)]
+    # Shingles of one document only never meet, so the others decide all intersections.
+    number = {}
+    for own in sets:
+        for shingle in own:
+            number.setdefault(shingle, []).append(0)
+    shared = {k: n for n, k in enumerate(k for k, v in number.items() if len(v) > 1)}
+    matrix = np.zeros((len(sets), len(shared)), np.float32)
+    for row, own in enumerate(sets):
+        matrix[row, [shared[k] for k in own if k in shared]] = 1
+    common, sizes = matrix @ matrix.T, np.array([len(own) for own in sets])
+    linked = 100 * common >= 85 * (sizes[:, None] + sizes[None, :] - common)
+    label = np.arange(len(sets))
+    while True:
+        lower = np.minimum(label, np.where(linked, label[None, :], len(sets)).min(1))
+        if (lower == label).all():
+            break
+        label = lower
+    docs = spark.createDataFrame(sorted(texts.items()), SCHEMA)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert found == dict(enumerate(label.tolist()))
+    assert 2 < len(set(label.tolist())) < 5000
+
+
+def test_columns_with_clashing_names_go_through(spark, docs, empty):
+    odd = docs.select("text", *(F.lit(1).alias(n) for n in ("kept_id", "__nth", "nth", "a`b.c", "component_id")), "doc_id")
+    left = near_dedup.without_near_duplicates(odd)
+    assert left.columns == odd.columns and left.count() == 8
+
+
+def test_components_with_hot_nodes(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5030)] + [(9000, i) for i in range(9001, 9900)]
+    found = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert found == {a: 0 if a < 3000 else 5000 if a < 9000 else 9000 for edge in edges for a in edge}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 80), (80, 80)], "a long, b long")
     found = dict(connected_components(edges).collect())
@@ -154,6 +205,35 @@ def test_repeated_bytes_by_brute_force(docs, empty):
     assert suffix_dedup.repeated_bytes(empty).count() == 0
 
 
+def test_a_hot_phrase_in_thousands_of_contexts(spark):
+    """A 20-byte phrase in 3,000 documents with other words around it, some windows alike."""
+    random = np.random.default_rng(4)
+    letters = "abcdefghijklmnop"
+    phrase = "the very same phrase"
+    rows = []
+    for i in range(3000):
+        before, after = ("".join(random.choice(list(letters), 45)) for _ in range(2))
+        rows.append((i, f"{before}{phrase}{after}"))
+    rows += [(5000 + i, text[i % 40 :] + "tail") for i, (_, text) in enumerate(rows[:400])]
+    rows += [(6000 + i, f"{phrase}{'xyz' * 20}") for i in range(300)]
+    expected = repeated(rows)
+    for row in suffix_dedup.repeated_bytes(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert (row["n_bytes"], row["kept_sha256"]) == (expected[row["doc_id"]][0], expected[row["doc_id"]][2])
+
+
+def test_long_texts_without_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_BYTES", 0)
+    random = np.random.default_rng(6)
+    pieces_ = ["".join(random.choice(list("abcdefgh "), 700)) for _ in range(60)]
+    rows = [(i, "".join(pieces_[k] for k in random.permutation(60)) * (1 + i)) for i in range(3)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    ranges = suffix_dedup._ranges(docs, 10**6, 8)
+    assert not len(ranges.splitters) and ranges.cuts.tolist() == [8]
+    expected = repeated(rows)
+    for row in suffix_dedup.repeated_bytes(docs).collect():
+        assert row["kept_sha256"] == expected[row["doc_id"]][2]
+
+
 def test_multikey_order_is_lexicographic():
     random = np.random.default_rng(1)
     columns = [random.integers(0, 3, 500, dtype=np.uint64) for _ in range(4)]
@@ -215,11 +295,71 @@ def test_pii_spans():
         ("iban", iban),
         ("account", "12345678"),
     ]
-    assert pii.find_spans("order 12345678 a@b.c@d.e") == [pii.Span(15, 0, 20, 1.0)]
+    assert pii.find_spans("order 12345678 a@b.c@d.e") == [pii.Span(15, 0, 20, 0.4)]
     assert pii.find_spans("1" * 30_000 + "@" + "." * 30_000) == []
     assert pii.mask(f"x {card}.") == "x <card>." and pii.mask(None) is None
 
 
+# The base patterns as they are stated, for a search from left to right.
+STATED = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def stated_spans(text):
+    def luhn(digits):
+        doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+        return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
+
+    for kind, pattern in STATED.items():
+        for found in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", found.group())
+            if (
+                kind == "email"
+                or (kind == "ip" and all(int(part) <= 255 for part in found.group().split(".")))
+                or (kind == "card" and 14 <= len(digits) <= 19 and luhn(digits))
+                or (kind == "phone" and 10 <= len(digits) <= 15)
+            ):
+                yield found.start(), list(STATED).index(kind), found.end()
+
+
+def test_base_spans_are_those_of_the_stated_patterns():
+    random = np.random.default_rng(8)
+    marks = list("0123456789" * 3 + "..@@--++ ()ab%_\né") + ["4111 1111 1111 1111", "a.b@c.de", "10.0.0.255", "+1 (555) 010-9999"]
+    for _ in range(1500):
+        text = "".join(random.choice(marks, random.integers(1, 60)))
+        found = [(s.start, s.kind, s.end) for s in pii.find_spans(text) if s.kind < 4]
+        assert found == sorted(stated_spans(text)), text
+
+
+def test_ibans_secrets_and_numbers_need_checksums_or_words():
+    def kinds(text):
+        return [(pii.KINDS[s.kind], text[s.start : s.end]) for s in pii.find_spans(text)]
+
+    assert kinds("GB82 WEST 1234 5698 7654 32 PAID IN FULL") == [("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert kinds("iban GB82WEST12345698765432 OK") == [("iban", "GB82WEST12345698765432")]
+    assert kinds("GB83WEST12345698765432") == []
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert kinds(f'token = "{token}" x') == [("secret", token)] and kinds(f"commit {token}") == []
+    assert kinds("account 123456 x") == [("account", "123456")] and kinds("room 123456") == []
+    # A card number that fails its checksum counts where words speak for it.
+    assert kinds("visa card 4111 1111 1111 1112") == [("account", "4111 1111 1111 1112")]
+    assert kinds("4111 1111 1111 1112") == []
+    near = {pii.KINDS[s.kind]: s.score for s in pii.find_spans("call +1 (555) 010-9999, example 10.0.0.1")}
+    assert near == {"phone": 0.8, "ip": 0.4}
+
+
+def test_pii_of_a_long_text_takes_seconds():
+    from time import perf_counter
+
+    started = perf_counter()
+    assert len(pii.find_spans("account 123456 " * 660_000)) == 660_000
+    assert perf_counter() - started < 60
+
+
 def test_pii_keeps_rows_and_columns(docs):
     wide = docs.withColumn("pii", F.lit(1)).withColumn("a.b", F.lit("x"))
     assert pii.with_spans(wide).count() == len(TEXTS)
