@@ -72,7 +72,9 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     labels = _table(spark, folder, "labels").where("quality IS NOT NULL")
     marks = labels.select("doc_id", (1 - F.col("quality")).alias("label"))
     labelled = pages.join(marks, shown == F.col("doc_id")).select("url", "label")
-    return url_filter.judge(pages, url_filter.fit(labelled), RULES).select(
+    model = url_filter.fit(labelled.where(~url_filter.held_out()))
+    threshold = url_filter.choose_threshold(labelled.where(url_filter.held_out()), model)
+    return url_filter.judge(pages, model, RULES, threshold.score).select(
         "page_id", "host", "path", "rule", "verdict", "score"
     )
 
