@@ -179,13 +179,19 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_hit_words(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with every hit word, and the gap behind it, cut out of its text."""
+    """``docs`` with every hit word, and the gap behind it, cut out of its text.
+
+    Other columns go through by position, whatever their names.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    key, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
     judged = contamination(docs, benchmark).where("n_hit > 0")
     hit = judged.select(F.col("doc_id").alias("hit_id"), "text_key", "hits").distinct()
-    same = docs["doc_id"].eqNullSafe(hit["hit_id"]) & (F.xxhash64(docs["text"]) == hit["text_key"])
-    parts = F.regexp_extract_all("text", F.lit(_WORD_AND_GAP), F.lit(0))
+    joined = plain.join(hit, key.eqNullSafe(F.col("hit_id")) & (F.xxhash64(text) == F.col("text_key")), "left")
+    parts = F.regexp_extract_all(text, F.lit(_WORD_AND_GAP), F.lit(0))
     kept = F.filter(parts, lambda part, i: ~F.array_contains("hits", i))
-    cut = F.concat(F.regexp_extract("text", _LEADING_GAP, 0), F.array_join(kept, ""))
-    text = F.when(F.col("hits").isNull(), F.col("text")).otherwise(cut)
-    joined = docs.join(hit, same, "left")
-    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns))
+    cut = F.concat(F.regexp_extract(text, _LEADING_GAP, 0), F.array_join(kept, ""))
+    clean = F.when(F.col("hits").isNull(), text).otherwise(cut)
+    columns = [clean.alias(n) if c == "text" else F.col(n) for n, c in zip(names, docs.columns)]
+    return joined.select(*columns).toDF(*docs.columns)
