@@ -168,7 +168,8 @@ class _Cell:
         text = np.searchsorted(self.offsets, first, "right") - 1
         known = self.has_id[text]
         self.anchor, self.first, self.last = anchor[known], first[known], last[known]
-        self.value, self.text = value[known], text[known]
+        # An anchor's hash is the least of many, so it is spread anew before it is dealt by range.
+        self.value, self.text = mix(value[known]), text[known]
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct anchor hashes, which of them two documents of this cell have, and their contexts."""
