@@ -24,8 +24,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     state = _state(current)
     while True:
-        large = stored(_large_star(current, state[0]), "edges")
-        current = stored(_small_star(large, state[0]), "edges")
+        current = stored(_small_star(_large_star(current)), "edges")
         before, state = state, _state(current)
         if state == before:
             break
@@ -37,35 +36,25 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-# Nodes with at least one in so many edge ends are broadcast with their least neighbour.
-HEAVY_NODES = 10_000
+# Parts that the edges of every node are dealt into, so that none's edges meet in one task.
+SALTS = 16
 
 
-def _with_least(edges: DataFrame, total: int) -> DataFrame:
-    """``(u, v, m)``: every edge with the least neighbour of its ``u``; ``total``: edges at most.
+def _with_least(edges: DataFrame) -> DataFrame:
+    """``(u, v, m)``: every edge with the least neighbour of its ``u``, which folds before the shuffle."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", "m", salts)
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    return salted.join(least, ["u", "salt"]).drop("salt")
 
-    Least neighbours fold before the shuffle. Nodes with many edges, of which there can be
-    no more than ``HEAVY_NODES``, get theirs by broadcast, so no node's edges meet in one task.
-    """
-    stats = edges.groupBy("u").agg(F.min("v").alias("least"), F.count(F.lit(1)).alias("n"))
-    is_heavy = F.col("n") * HEAVY_NODES >= total
-    heavy = stats.where(is_heavy).select("u", F.col("least").alias("heavy"))
-    light = stats.where(~is_heavy).select(F.col("u").alias("node"), F.col("least").alias("light"))
-    known = edges.join(F.broadcast(heavy), "u", "left")
-    # Edges that know their node's least are dealt out by their own hash.
-    node = F.when(F.col("heavy").isNull(), F.col("u")).otherwise(F.xxhash64("u", "v"))
-    joined = known.withColumn("node", node).join(light, "node", "left")
-    return joined.select("u", "v", F.coalesce("heavy", "light").alias("m"))
-
-
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
-    both = edges.union(edges.select("v", "u"))
-    least = _with_least(both, 2 * n).withColumn("m", F.least("u", "m"))
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    least = _with_least(edges.union(edges.select("v", "u"))).withColumn("m", F.least("u", "m"))
     hung = least.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
-    least = _with_least(edges, n)
+def _small_star(edges: DataFrame) -> DataFrame:
+    least = _with_least(edges)
     hung = least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.union(least.select("u", F.col("m").alias("v"))).distinct()

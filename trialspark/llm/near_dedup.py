@@ -257,9 +257,11 @@ def _numbered(members: DataFrame, chunks: str) -> DataFrame:
     return members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col(chunks)))
 
 
-def _blocks(rows: DataFrame, min_percent: int) -> DataFrame:
-    """Links of ``rows(cluster, block_a, block_b, doc_id, text)`` inside each block."""
-    columns = rows.select("cluster", "block_a", "block_b", "doc_id", "text")
+def _blocks(docs: DataFrame, rows: DataFrame, min_percent: int) -> DataFrame:
+    """Links inside each block of ``rows(cluster, block_a, block_b, doc_id)``."""
+    # Joined by sorting at every size: the texts are the larger side and go to their blocks anyway.
+    texts = docs.select("doc_id", "text").join(rows.hint("merge"), "doc_id")
+    columns = texts.select("cluster", "block_a", "block_b", "doc_id", "text")
     return _dealt(columns, "cluster", "block_a", "block_b").mapInArrow(_confirmed(min_percent), "a long, b long")
 
 
@@ -271,8 +273,8 @@ def _chunks_of(members: DataFrame, *by: str) -> DataFrame:
 
 def confirmed_edges(
     docs: DataFrame, sizes: DataFrame, clusters: DataFrame, min_percent: int = MIN_PERCENT
-) -> DataFrame:
-    """Links ``(a, b)`` on full sets, with the components of all similar pairs in each cluster."""
+) -> tuple[DataFrame, DataFrame]:
+    """Links ``(a, b)`` on full sets inside each chunk and between chunk 0 and the others, and all members."""
     members = clusters.join(sizes, clusters["id"] == sizes["doc_id"]).select(
         F.col("component").alias("cluster"), "doc_id", "n_shingles"
     )
@@ -281,34 +283,33 @@ def confirmed_edges(
     # Chunk 0 meets every chunk, itself included where it is the only one.
     others = F.when(F.col("own") == 0, F.sequence(F.least(F.lit(1).cast("long"), last), last)).otherwise(F.array("own"))
     first = numbered.select("cluster", "doc_id", F.lit(0).cast("long").alias("block_a"), F.explode(others).alias("block_b"))
-    texts = docs.select("doc_id", "text")
-    links = _blocks(texts.join(first, "doc_id"), min_percent)
-    large = numbered.where("chunks > 1")
-    if large.isEmpty():
-        return links
-    links = stored(links, "links")
-    return links.union(_between_parts(texts, large, links, min_percent))
-
-
-def _between_parts(texts: DataFrame, members: DataFrame, links: DataFrame, min_percent: int) -> DataFrame:
-    """Links of the members outside the largest part of each cluster to all its members."""
-    known = links.join(members.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    parts = connected_components(known).withColumnRenamed("id", "doc_id")
-    placed = members.join(parts, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-    sizes = placed.groupBy("cluster", "part").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    return _blocks(docs, first, min_percent), numbered
+
+
+def _outside(members: DataFrame, parts: DataFrame) -> DataFrame | None:
+    """Blocks in which the members outside the largest part of each cluster meet all its members, if there are any.
+
+    ``parts(id, component)``: what hangs together so far.
+    """
+    placed = members.where("chunks > 1").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    placed = placed.withColumn("part", F.coalesce("component", "doc_id"))
+    counts = placed.groupBy("cluster", "part").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
     placed = stored(placed.join(largest, "cluster"), "parts")
-    outside = placed.where("part <> largest").select("cluster", "doc_id", "n_shingles")
-    counts = _chunks_of(outside, "cluster").select("cluster", F.col("chunks").alias("out_chunks"))
-    rest = _numbered(outside.join(counts, "cluster"), "out_chunks")
-    every = placed.join(counts, "cluster")
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("block_b")
-    out_chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_chunks") - 1)).alias("block_a")
-    totals = placed.select("cluster", "chunks").distinct()
-    rows = rest.join(totals, "cluster").select("cluster", "doc_id", F.col("own").alias("block_a"), chunk)
-    rows = rows.union(every.select("cluster", "doc_id", out_chunk, F.col("own").alias("block_b")))
+    outside = placed.where("part <> largest").select("cluster", "doc_id", "n_shingles", "chunks")
+    if outside.isEmpty():
+        return None
+    chunks = _chunks_of(outside, "cluster").select("cluster", F.col("chunks").alias("out_chunks"))
+
+    def each(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    rest = _numbered(outside.join(chunks, "cluster"), "out_chunks")
+    rows = rest.select("cluster", "doc_id", F.col("own").alias("block_a"), each("chunks").alias("block_b"))
+    every = placed.join(chunks, "cluster")
+    rows = rows.union(every.select("cluster", "doc_id", each("out_chunks").alias("block_a"), F.col("own").alias("block_b")))
     # A member outside that stands in its own partner's chunk too is needed there once.
-    return _blocks(texts.join(rows.distinct(), "doc_id"), min_percent)
+    return rows.distinct()
 
 
 def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
@@ -328,11 +329,16 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFram
     )
     clusters = connected_components(candidate_edges(heads, min_percent))
     sizes = known.select("doc_id", "n_shingles")
-    links = confirmed_edges(docs, sizes, clusters, min_percent)
+    links, members = confirmed_edges(docs, sizes, clusters, min_percent)
     copies = full.join(classes, ["set_a", "set_b"]).select(
         F.col("doc_id").alias("a"), F.col("first").alias("b")
     )
     components = connected_components(links.union(copies))
+    if not members.where("chunks > 1").isEmpty():
+        blocks = _outside(members, components)
+        if blocks is not None:
+            known = components.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            components = connected_components(known.union(_blocks(docs, blocks, min_percent)))
     found = signed.join(components, signed["doc_id"] == components["id"], "left")
     component = F.coalesce("component", "doc_id")
     return found.select(
