@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     state = _state(current)
     while True:
-        current = stored(_small_star(_large_star(current)), "edges")
+        # Each star reads its edges twice, so what they are made of is stored in between.
+        current = stored(_small_star(stored(_large_star(current), "edges")), "edges")
         before, state = state, _state(current)
         if state == before:
             break

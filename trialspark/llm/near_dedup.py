@@ -324,9 +324,8 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFram
     known = signed.where("doc_id IS NOT NULL")
     full = known.where("n_shingles > 0")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"))
-    heads = full.join(
-        classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi"
-    )
+    first = classes.select(F.col("first").alias("doc_id")).distinct()
+    heads = stored(full.join(first, "doc_id", "left_semi"), "heads")
     clusters = connected_components(candidate_edges(heads, min_percent))
     sizes = known.select("doc_id", "n_shingles")
     links, members = confirmed_edges(docs, sizes, clusters, min_percent)
