@@ -243,3 +243,18 @@ def test_sql_refuses_java_calls_and_file_tables(spark, tmp_path):
         run_sql(spark, f"SELECT * FROM parquet.`{path}`")
     assert run_sql(spark, "SELECT 'reflect(' AS x").first()["x"] == "reflect("
     assert spark.sql(f"SELECT * FROM parquet.`{path}`").count() == 3
+
+
+def test_statements_side_by_side_leave_the_session_alone(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from trialspark.plans.sql import run_sql
+
+    flag = "spark.sql.runSQLOnFiles"
+    before = spark.conf.get(flag, "true")
+    spark.range(3).createOrReplaceTempView("side_by_side")
+    with ThreadPoolExecutor(8) as pool:
+        counts = list(pool.map(lambda _: run_sql(spark, "SELECT count(*) FROM side_by_side").first()[0], range(40)))
+    assert counts == [3] * 40 and spark.conf.get(flag, "true") == before
+    # A result joins with tables of the caller's session.
+    assert run_sql(spark, "SELECT id FROM side_by_side").join(spark.range(2), "id").count() == 2

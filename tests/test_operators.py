@@ -184,6 +184,14 @@ def test_terms(spark):
 # ----------------------------------------------------------------- text to SQL
 
 
+def test_training_tables_get_no_requests(spark):
+    names = ("visits", *text_to_sql.TRAINING_TABLES)
+    bullets = spark.createDataFrame([(n, "x") for n in names], "table_name string, text string")
+    assert {r["table_name"] for r in text_to_sql.pair_requests(bullets, 2).collect()} == {"visits"}
+    assert text_to_sql.pair_requests(bullets, 2, left_out=()).count() == 8
+    assert text_to_sql.pair_requests(bullets.where("table_name <> 'visits'"), 2).count() == 0
+
+
 def test_pair_requests(spark):
     bullets = spark.createDataFrame([("b", "B {schema}"), ("a", "A")], "table_name string, text string")
     got = rows(text_to_sql.pair_requests(bullets, 2, "<{schema}>"), "table_name", "request_no")

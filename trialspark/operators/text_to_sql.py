@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +26,18 @@ QUESTION_PROMPT = (
     f"- lows: glucose under {LOW} mg/dL (severe: under {VERY_LOW})\n"
     f"- highs: glucose over {HIGH} mg/dL (severe: over {VERY_HIGH})\n"
     f"- in range: glucose from {LOW} to {HIGH} mg/dL\n"
+    "- HbA1c: laboratory results in percent, missing ones left out\n"
+    "- variability: sample standard deviation of glucose, and CV, which is 100 times it by the mean\n"
+    "- mean glucose and GMI: average glucose, and 3.31 + 0.02392 times it\n"
+    "- adverse events: counts of DKA and of severe hypoglycaemia, zero where none is recorded\n"
+    "- demographics: age, sex, BMI and years with diabetes, one row per subject\n"
+    "- arms: the treatment a subject was assigned to, such as pump, injections or closed loop\n"
     f"- kids: age under {ADULT_AGE}; adults: age {ADULT_AGE} and over\n"
     "- baseline: visit 0 or the baseline flag; end of trial: the greatest visit\n"
     "Rules:\n"
     "- trials combined: UNION ALL the aligned rows, then aggregate\n"
     "- trials one by one: aggregate each under a literal trial name, then UNION ALL\n"
+    "- outcomes by demographics: join on the subject id, whose column name may differ by table\n"
     "- numbers kept as text: CAST before averaging; nulls do not count\n"
     "- use only the tables and columns listed above\n\n"
     "Request: {question}"
@@ -52,14 +59,27 @@ def _filled(template: str, **values: Column) -> Column:
     return F.concat(*parts)
 
 
-def pair_requests(bullets: DataFrame, count: int, template: str = PAIR_REQUEST) -> DataFrame:
+# The tables that this module writes, which no request is about.
+TRAINING_NAMES = ("pretrain_data", "sft_data", "dpo_data")
+
+
+def pair_requests(
+    bullets: DataFrame,
+    count: int,
+    template: str = PAIR_REQUEST,
+    left_out: Collection[str] = TRAINING_NAMES,
+) -> DataFrame:
     """``(table_name, request_no, prompt)``: ``count`` identical requests per table.
 
+    The tables ``left_out`` get none, so that a second run does not ask about the
+    training tables of the first.
+
     ``bullets`` is ``(table_name, text)``, one row per table. The grid is a
     distributed range that looks its table up in an array of the texts, so it
     needs no join and is as parallel as it is long.
     """
     tables = F.array_sort(F.collect_list(F.struct("table_name", "text")))
+    bullets = bullets.where(~F.col("table_name").isin(*left_out)) if left_out else bullets
     listing = bullets.agg(tables.alias("tables"))
     n_tables = bullets.count()
     slots = bullets.sparkSession.range(count * n_tables)
@@ -177,7 +197,7 @@ def dpo_rows(pairs: DataFrame) -> DataFrame:
 
 
 # The training tables.
-TRAINING_TABLES = {"pretrain_data": pretrain_rows, "sft_data": sft_rows, "dpo_data": dpo_rows}
+TRAINING_TABLES = dict(zip(TRAINING_NAMES, (pretrain_rows, sft_rows, dpo_rows)))
 
 
 def append_training_tables(pairs: DataFrame, store: TableStore) -> None:

@@ -28,20 +28,19 @@ def run_sql(spark: SparkSession, text: str) -> DataFrame:
     Spark's grammar admits no INSERT, DDL, SET or second statement there, so the
     parser itself refuses everything that writes, including ``WITH .. INSERT``.
     SHOW, DESCRIBE and EXPLAIN run as they are. Calls of Java methods and tables named
-    by a file path are refused.
+    by a file path are refused. A statement runs in a copy of the session with the same
+    views and settings, so statements may run side by side and change nothing for others.
     """
     body = _TRAILING.sub("", _LEADING.sub("", text)).strip()
     if not body:
         raise NotReadOnly("empty statement")
     if _REFLECTIVE.search(_TEXTS.sub(" ", body).replace("`", "")):
         raise NotReadOnly("calls of Java methods are refused")
-    before = spark.conf.get(_ON_FILES, "true")
-    spark.conf.set(_ON_FILES, "false")
+    own = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set(_ON_FILES, "false")
     try:
         if _METADATA.match(body):
-            return spark.sql(body)
-        return spark.sql(f"SELECT * FROM (WITH read_only AS (\n{body}\n) SELECT * FROM read_only)")
+            return own.sql(body)
+        return own.sql(f"SELECT * FROM (WITH read_only AS (\n{body}\n) SELECT * FROM read_only)")
     except ParseException as error:
         raise NotReadOnly(f"not a single read-only query: {error}") from error
-    finally:
-        spark.conf.set(_ON_FILES, before)
