@@ -9,8 +9,11 @@ import pytest
 from trialspark.bindings import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-# Queries whose work happens while they are built (loads, archives).
-BUILT_EAGERLY = {"expand_archives", "archive_report", "load_report", "training_tables"}
+# Queries whose work happens while they are built (loads, archives, stored pieces).
+BUILT_EAGERLY = {
+    "expand_archives", "archive_report", "load_report", "training_tables",
+    "asof_before", "asof_after", "low_episodes", "weighted_range",
+}
 
 
 def plan(df) -> str:
