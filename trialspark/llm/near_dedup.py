@@ -241,16 +241,18 @@ def candidate_edges(signed: DataFrame, min_percent: int = MIN_PERCENT) -> DataFr
     buckets = stored(
         banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1"), "buckets"
     )
-    small = banded.join(buckets.where(F.col("n") <= BUCKET_CHUNK).select("key"), "key")
-    sketched = small.join(full.select("doc_id", "sketch"), "doc_id")
+    # Read by both branches below, so entries without a partner go through one shuffle only.
+    shared = stored(banded.join(buckets.hint("merge"), "key"), "shared")
+    small = shared.where(F.col("n") <= BUCKET_CHUNK).select("key", "doc_id")
+    sketched = full.select("doc_id", "sketch").join(small.hint("merge"), "doc_id")
     groups = _dealt(
         sketched.select("key", F.lit(0).cast("long").alias("block_a"), F.lit(0).cast("long").alias("block_b"), "doc_id", "sketch"),
         "key",
     )
     compared = groups.mapInArrow(_similar_sketches(sketch_bar(min_percent)), "a long, b long")
     # At most one such bucket in every BUCKET_CHUNK entries; AQE splits its rows in the join.
-    large = buckets.where(F.col("n") > BUCKET_CHUNK).select("key", "least")
-    return compared.union(banded.join(large, "key").select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
+    large = shared.where(F.col("n") > BUCKET_CHUNK)
+    return compared.union(large.select(F.col("doc_id").alias("a"), F.col("least").alias("b")))
 
 
 def _numbered(members: DataFrame, chunks: str) -> DataFrame:
@@ -275,7 +277,7 @@ def confirmed_edges(
     docs: DataFrame, sizes: DataFrame, clusters: DataFrame, min_percent: int = MIN_PERCENT
 ) -> tuple[DataFrame, DataFrame]:
     """Links ``(a, b)`` on full sets inside each chunk and between chunk 0 and the others, and all members."""
-    members = clusters.join(sizes, clusters["id"] == sizes["doc_id"]).select(
+    members = clusters.join(sizes.hint("merge"), clusters["id"] == sizes["doc_id"]).select(
         F.col("component").alias("cluster"), "doc_id", "n_shingles"
     )
     numbered = stored(_numbered(members.join(_chunks_of(members, "cluster"), "cluster"), "chunks"), "members")
@@ -325,11 +327,12 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFram
     full = known.where("n_shingles > 0")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"))
     first = classes.select(F.col("first").alias("doc_id")).distinct()
-    heads = stored(full.join(first, "doc_id", "left_semi"), "heads")
+    # Tables of one row a document are joined by sorting at every size: they outgrow any broadcast.
+    heads = stored(full.join(first.hint("merge"), "doc_id", "left_semi"), "heads")
     clusters = connected_components(candidate_edges(heads, min_percent))
     sizes = known.select("doc_id", "n_shingles")
     links, members = confirmed_edges(docs, sizes, clusters, min_percent)
-    copies = full.join(classes, ["set_a", "set_b"]).select(
+    copies = full.join(classes.hint("merge"), ["set_a", "set_b"]).select(
         F.col("doc_id").alias("a"), F.col("first").alias("b")
     )
     components = connected_components(links.union(copies))
@@ -338,7 +341,7 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFram
         if blocks is not None:
             known = components.select(F.col("id").alias("a"), F.col("component").alias("b"))
             components = connected_components(known.union(_blocks(docs, blocks, min_percent)))
-    found = signed.join(components, signed["doc_id"] == components["id"], "left")
+    found = signed.join(components.hint("merge"), signed["doc_id"] == components["id"], "left")
     component = F.coalesce("component", "doc_id")
     return found.select(
         "doc_id",
