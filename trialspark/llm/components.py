@@ -37,16 +37,23 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-# Parts that the edges of every node are dealt into, so that none's edges meet in one task.
-SALTS = 16
+# Nodes with more edges than this have them dealt into parts, so that none's edges meet in one task.
+HOT_EDGES, SALTS = 1024, 16
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """``(u, v, m)``: every edge with the least neighbour of its ``u``, which folds before the shuffle."""
+    """``(u, v, m)``: every edge with the least neighbour of its ``u``, which folds before the shuffle.
+
+    Only hot nodes, at most one in ``HOT_EDGES`` edges, are repeated for every part.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", "m", salts)
+    hot = least.where(F.col("n") > HOT_EDGES).select("u", salts, "m")
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(least, ["u", "salt"]).drop("salt")
+    split = salted.join(hot, ["u", "salt"]).select("u", "v", "m")
+    few = least.where(F.col("n") <= HOT_EDGES).select("u", "m")
+    whole = salted.join(hot, ["u", "salt"], "left_anti").select("u", "v")
+    return split.union(whole.join(few.hint("merge"), "u").select("u", "v", "m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
