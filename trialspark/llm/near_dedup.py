@@ -261,8 +261,7 @@ def _numbered(members: DataFrame, chunks: str) -> DataFrame:
 
 def _blocks(docs: DataFrame, rows: DataFrame, min_percent: int) -> DataFrame:
     """Links inside each block of ``rows(cluster, block_a, block_b, doc_id)``."""
-    # Joined by sorting at every size: the texts are the larger side and go to their blocks anyway.
-    texts = docs.select("doc_id", "text").join(rows.hint("merge"), "doc_id")
+    texts = docs.join(rows.hint("merge"), "doc_id")
     columns = texts.select("cluster", "block_a", "block_b", "doc_id", "text")
     return _dealt(columns, "cluster", "block_a", "block_b").mapInArrow(_confirmed(min_percent), "a long, b long")
 
@@ -275,8 +274,8 @@ def _chunks_of(members: DataFrame, *by: str) -> DataFrame:
 
 def confirmed_edges(
     docs: DataFrame, sizes: DataFrame, clusters: DataFrame, min_percent: int = MIN_PERCENT
-) -> tuple[DataFrame, DataFrame]:
-    """Links ``(a, b)`` on full sets inside each chunk and between chunk 0 and the others, and all members."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links ``(a, b)`` on full sets inside each chunk and between chunk 0 and the others, all members, their texts."""
     members = clusters.join(sizes.hint("merge"), clusters["id"] == sizes["doc_id"]).select(
         F.col("component").alias("cluster"), "doc_id", "n_shingles"
     )
@@ -285,7 +284,10 @@ def confirmed_edges(
     # Chunk 0 meets every chunk, itself included where it is the only one.
     others = F.when(F.col("own") == 0, F.sequence(F.least(F.lit(1).cast("long"), last), last)).otherwise(F.array("own"))
     first = numbered.select("cluster", "doc_id", F.lit(0).cast("long").alias("block_a"), F.explode(others).alias("block_b"))
-    return _blocks(docs, first, min_percent), numbered
+    # All texts are shuffled here only; later comparisons read those of members.
+    wanted = numbered.select("doc_id").hint("merge")
+    texts = stored(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), "texts")
+    return _blocks(texts, first, min_percent), numbered, texts
 
 
 def _outside(members: DataFrame, parts: DataFrame) -> DataFrame | None:
@@ -331,7 +333,7 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFram
     heads = stored(full.join(first.hint("merge"), "doc_id", "left_semi"), "heads")
     clusters = connected_components(candidate_edges(heads, min_percent))
     sizes = known.select("doc_id", "n_shingles")
-    links, members = confirmed_edges(docs, sizes, clusters, min_percent)
+    links, members, texts = confirmed_edges(docs, sizes, clusters, min_percent)
     copies = full.join(classes.hint("merge"), ["set_a", "set_b"]).select(
         F.col("doc_id").alias("a"), F.col("first").alias("b")
     )
@@ -340,7 +342,7 @@ def near_duplicates(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFram
         blocks = _outside(members, components)
         if blocks is not None:
             known = components.select(F.col("id").alias("a"), F.col("component").alias("b"))
-            components = connected_components(known.union(_blocks(docs, blocks, min_percent)))
+            components = connected_components(known.union(_blocks(texts, blocks, min_percent)))
     found = signed.join(components.hint("merge"), signed["doc_id"] == components["id"], "left")
     component = F.coalesce("component", "doc_id")
     return found.select(
