@@ -201,12 +201,13 @@ TRAINING_TABLES = dict(zip(TRAINING_NAMES, (pretrain_rows, sft_rows, dpo_rows)))
 
 
 def append_training_tables(pairs: DataFrame, store: TableStore) -> None:
-    """Append the pairs to the three training tables; a repeated call adds them again.
+    """Append the pairs to the three training tables at once; a repeated call adds them again.
+
+    Over a folder store a failure leaves all three tables as they were.
 
     The pairs are checkpointed first, so that all three tables get the same rows
     even if an executor is lost between the writes.
     """
     ensure_checkpoint_dir(pairs.sparkSession)
     settled = pairs.checkpoint()
-    for name, rows in TRAINING_TABLES.items():
-        store.append(name, rows(settled))
+    store.append_all({name: rows(settled) for name, rows in TRAINING_TABLES.items()})

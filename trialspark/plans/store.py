@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Mapping
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +25,8 @@ class TableStore(Protocol):
 
     def append(self, name: str, df: DataFrame) -> None: ...
 
+    def append_all(self, rows: Mapping[str, DataFrame]) -> None: ...
+
 
 class CatalogStore:
     """Managed tables of a Spark database."""
@@ -51,11 +55,18 @@ class CatalogStore:
     def append(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").saveAsTable(self._quoted(name))
 
+    def append_all(self, rows: Mapping[str, DataFrame]) -> None:
+        """Append to several tables, one after the other: managed tables have no common commit."""
+        for name, df in rows.items():
+            self.append(name, df)
+
 
 class FolderStore:
     """Parquet tables below one folder, ``<root>/<table>``.
 
     A table is complete with its ``_SUCCESS`` marker; without it ``create`` writes it anew.
+    Rows that are added to several tables at once lie in ``<root>/_batches/<batch>/<table>``
+    and count once the file ``<root>/_commits/<batch>`` exists.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -65,10 +76,28 @@ class FolderStore:
     def _path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def exists(self, name: str) -> bool:
+    def _hadoop(self, path: str):
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return file.getFileSystem(self.spark._jsc.hadoopConfiguration()), file
+
+    def _present(self, path: str) -> bool:
+        system, file = self._hadoop(path)
+        return system.exists(file)
+
+    def _batches(self) -> list[str]:
+        """Folders of the committed batches, one for each ``append_all``."""
+        commits = f"{self.root}/_commits"
+        if not self._present(commits):
+            return []
+        system, folder = self._hadoop(commits)
+        return sorted(f"{self.root}/_batches/{status.getPath().getName()}" for status in system.listStatus(folder))
+
+    def _stored_plainly(self, name: str) -> bool:
         # The marker comes last, when a write commits: what an interrupted write left is no table.
-        marker = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(name)}/_SUCCESS")
-        return marker.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(marker)
+        return self._present(f"{self._path(name)}/_SUCCESS")
+
+    def exists(self, name: str) -> bool:
+        return self._stored_plainly(name) or any(self._present(f"{batch}/{name}") for batch in self._batches())
 
     def names(self) -> list[str]:
         files = (
@@ -77,10 +106,17 @@ class FolderStore:
             .load(literal_path(self.root))
         )
         folder = F.substring_index(F.substring_index("path", "/", -2), "/", 1)
-        return sorted(row[0] for row in files.select(folder).distinct().collect())
+        found = {row[0] for row in files.select(folder).distinct().collect()}
+        for batch in self._batches():
+            system, path = self._hadoop(batch)
+            found |= {status.getPath().getName() for status in system.listStatus(path)}
+        return sorted(found)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(literal_path(self._path(name)))
+        paths = [f"{batch}/{name}" for batch in self._batches() if self._present(f"{batch}/{name}")]
+        if not paths or self._present(self._path(name)):
+            paths.append(self._path(name))
+        return self.spark.read.parquet(*map(literal_path, paths))
 
     def create(self, name: str, df: DataFrame) -> None:
         if not self.exists(name):
@@ -88,3 +124,15 @@ class FolderStore:
 
     def append(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self._path(name))
+
+    def append_all(self, rows: Mapping[str, DataFrame]) -> None:
+        """Append to several tables at once: readers see all of the new rows or none.
+
+        What a failed call has written is never read.
+        """
+        batch = uuid.uuid4().hex
+        for name, df in rows.items():
+            df.write.parquet(f"{self.root}/_batches/{batch}/{name}")
+        # One file makes all tables' rows count.
+        system, commit = self._hadoop(f"{self.root}/_commits/{batch}")
+        system.create(commit, False).close()
