@@ -4,7 +4,18 @@
 same result in DuckDB SQL over views of the same tables.
 """
 
-from trialspark.bindings import catalog, clinical, ingestion, relational, sequences, training
+from trialspark.bindings import catalog, clinical, evaluation, ingestion, relational, sequences, streams, training
 from trialspark.bindings.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "clinical", "ingestion", "relational", "sequences", "training"]
+__all__ = [
+    "ORACLES",
+    "QUERIES",
+    "catalog",
+    "clinical",
+    "evaluation",
+    "ingestion",
+    "relational",
+    "sequences",
+    "streams",
+    "training",
+]
