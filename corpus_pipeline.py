@@ -60,8 +60,8 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-# Training and merging can't be expressed in SQL. tests/llm holds near duplicates against brute
-# force; of run() as a whole it checks columns, the number of rows and unique ids only.
+# Training and merging can't be expressed in SQL. tests/llm holds run() against plain versions of
+# the five stages, on planted documents.
 ORACLE_SQL = None
 
 
