@@ -81,6 +81,7 @@ def test_statements_without_a_result(spark):
         "equal",
         "equal",
         "equal",
+        "equal",
         "different",
         "equal",
     ]
