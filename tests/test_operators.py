@@ -223,6 +223,16 @@ ANSWERS = {
     envelope(["a", "b", "c"]): (None, None, None, "response_not_text"),
     "{}": (None, None, None, "not_three_items"),
     "[1]": (None, None, None, "bad_envelope"),
+    '{"response": "[]", "response": "[\\"a\\", \\"b\\", \\"c\\"]"}': ("a", "b", "c", None),
+    '{"response": "[\\"a\\", \\"b\\", \\"c\\"]", "response": 3}': (None, None, None, "response_not_text"),
+    '{"response": "[\\"a\\", \\"b\\", \\"c\\"]", "response": "[]"}': (None, None, None, "not_three_items"),
+    '{"x": 1, "x": 2}': (None, None, None, "not_three_items"),
+    '{"x": 1, "x": 2} {}': (None, None, None, "bad_envelope"),
+    '{"x": 1, "x": 2}, {}': (None, None, None, "bad_envelope"),
+    '{"x": 1, "x": 2': (None, None, None, "bad_envelope"),
+    '{"x": 1, "x": 2}], "b": [{}': (None, None, None, "bad_envelope"),
+    '{"x": 1, "x": 2}] }': (None, None, None, "bad_envelope"),
+    '{"x": 1, "x": 2}]': (None, None, None, "bad_envelope"),
     "HTTP 500": (None, None, None, "bad_envelope"),
 }
 

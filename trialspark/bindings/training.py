@@ -114,6 +114,21 @@ def pair_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.where("reason is not null").select("conv_id", "turn", "form", "reason")
 
 
+@query(
+    f"""SELECT conv_id, turn, asked AS prompt, replied AS chosen, 'last' AS rejected, NULL AS reason FROM {SQL_TURN_PAIRS}
+    UNION ALL SELECT conv_id, turn, NULL, NULL, NULL, 'bad_envelope' FROM {SQL_TURN_PAIRS}"""
+)
+def repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers that name their response twice; a second object behind the first spoils one."""
+    listed = [F.to_json(F.array("asked", "replied", F.lit(word))) for word in ("first", "last")]
+    named = [F.regexp_extract(F.to_json(F.struct(text.alias("response"))), r"(?s)^\{(.*)\}$", 1) for text in listed]
+    twice = F.concat(F.lit('{"done": true, '), named[0], F.lit(', "done": false, '), named[1], F.lit("}"))
+    answers = _turn_pairs(spark, folder).select(
+        "conv_id", "turn", F.explode(F.array(twice, F.concat(twice, F.lit(", {}")))).alias("answer")
+    )
+    return ops.parse_pair_answers(answers, "answer").drop("answer")
+
+
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
     return ops.valid_pairs(ops.parse_pair_answers(_answers(spark, folder), "answer"))
 

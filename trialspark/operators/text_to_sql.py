@@ -147,16 +147,43 @@ def _parsed_list(parsed: Column) -> Column:
     )
 
 
-def _parsed_envelope(envelope: Column) -> Column:
-    """Outcome of an answer's JSON object."""
+def _parsed_response(response: Column) -> Column:
+    """Outcome of what an answer holds under ``response``."""
+    return (
+        F.when(response.isNull(), _outcome("not_three_items"))
+        .when(F.schema_of_variant(response) != "STRING", _outcome("response_not_text"))
+        .otherwise(_let(F.try_parse_json(response.cast("string")), _parsed_list))
+    )
+
+
+def _parsed_repeats(text: Column) -> Column:
+    """Outcome of an answer that is no JSON text without repeated keys.
+
+    Reading one field keeps the last of several of its name. The text is put into an array
+    of an outer object: with just that object's two keys and one element in the array, it
+    is one whole object.
+    """
+    outer = F.concat(F.lit('{"answer": ['), text, F.lit('], "end": 1}'))
+    objects = F.from_json(outer, "struct<answer array<struct<response variant>>>")["answer"]
+    whole = F.json_object_keys(outer) == F.array(F.lit("answer"), F.lit("end"))
+    found = _let(
+        F.when(whole, objects),
+        lambda parsed: F.when(
+            (F.size(parsed) == 1) & F.get(parsed, F.lit(0)).isNotNull(),
+            _let(F.get(parsed, F.lit(0))["response"], _parsed_response),
+        ).otherwise(_outcome("bad_envelope")),
+    )
+    # Other texts than objects are not parsed again.
+    return F.when(text.rlike(r"^\s*\{"), found).otherwise(_outcome("bad_envelope"))
+
+
+def _parsed_envelope(envelope: Column, text: Column) -> Column:
+    """Outcome of an answer's JSON object; ``envelope`` is null if a key repeats or it is none."""
     is_object = F.schema_of_variant(envelope).startswith("OBJECT")
-    return F.when(envelope.isNull() | ~is_object, _outcome("bad_envelope")).otherwise(
-        _let(
-            F.try_variant_get(envelope, "$.response", "variant"),
-            lambda response: F.when(response.isNull(), _outcome("not_three_items"))
-            .when(F.schema_of_variant(response) != "STRING", _outcome("response_not_text"))
-            .otherwise(_let(F.try_parse_json(response.cast("string")), _parsed_list)),
-        )
+    return (
+        F.when(envelope.isNull(), _parsed_repeats(text))
+        .when(~is_object, _outcome("bad_envelope"))
+        .otherwise(_let(F.try_variant_get(envelope, "$.response", "variant"), _parsed_response))
     )
 
 
@@ -167,10 +194,12 @@ def parse_pair_answers(answers: DataFrame, answer: str) -> DataFrame:
     text that holds a JSON array of three items. Items become strings. For any
     other answer the three columns are null and ``reason`` says why.
 
-    Each JSON text is parsed once; the outcome comes out of a generator, so that
+    Of an envelope's repeated keys the last one counts. Each JSON text is parsed once (one with
+    repeated keys, or a broken object, twice); the outcome comes out of a generator, so that
     a later filter on it does not parse the answer again.
     """
-    outcome = _let(F.try_parse_json(F.col(answer)), _parsed_envelope)
+    text = F.col(answer)
+    outcome = _let(F.try_parse_json(text), lambda envelope: _parsed_envelope(envelope, text))
     return answers.select("*", F.inline(F.array(outcome)))
 
 
