@@ -57,12 +57,30 @@ SQL_BULLETS = f"""(SELECT table_name, 'Table: ' || table_name || chr(10) || 'Col
     FROM {SQL_COLUMNS} GROUP BY table_name)"""
 
 
+LINEITEM_KEYS = (
+    "l_orderkey",
+    "l_linenumber",
+    "l_partkey",
+    "l_suppkey",
+    "l_shipdate",
+    "l_quantity",
+    "l_extendedprice",
+    "l_discount",
+    "l_tax",
+    "l_returnflag",
+    "l_linestatus",
+)
+
 # Keys that make the sample row of a table the same in every run.
 SAMPLE_KEYS = {
     "customer": ["c_custkey"],
+    "events": ["event_id"],
+    "labels": ["doc_id"],
+    "lineitem": list(LINEITEM_KEYS),
     "nation": ["n_nationkey"],
     "orders": ["o_orderkey"],
     "part": ["p_partkey"],
+    "region": ["r_regionkey"],
     "supplier": ["s_suppkey"],
 }
 
@@ -79,12 +97,35 @@ def _quoted(column: str) -> str:
     return f"chr(39) || {column} || chr(39)"
 
 
+def _or_none(column: str) -> str:
+    return f"coalesce({column}::VARCHAR, 'None')"
+
+
+def _moment(column: str) -> str:
+    """A time as Python shows it: seconds and microseconds only where there are any."""
+    micros = f"(epoch_us({column}) % 60000000)"
+    return f"""strftime({column}, 'datetime.datetime(%Y, %-m, %-d, %-H, %-M') ||
+        CASE WHEN {micros} > 0 THEN ', ' || ({micros} // 1000000) ELSE '' END ||
+        CASE WHEN {micros} % 1000000 > 0 THEN ', ' || ({micros} % 1000000) ELSE '' END || ')'"""
+
+
 SQL_SCHEMA_TEXT = "(" + " UNION ALL ".join(
     [
         _sql_sample(
             "customer", "c_custkey", "c_custkey", _quoted("c_name"), "c_nationkey", "c_acctbal",
             _quoted("c_mktsegment"),
         ),
+        _sql_sample(
+            "events", "event_id", "event_id", _moment("ts"), "user_id", _quoted("event_type"), "value",
+            _quoted("props"),
+        ),
+        _sql_sample("labels", "doc_id", "doc_id", _or_none("quality"), _or_none("toxic")),
+        _sql_sample(
+            "lineitem", ", ".join(LINEITEM_KEYS), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+            "l_quantity", "l_extendedprice", "l_discount", "l_tax", _quoted("l_returnflag"),
+            _quoted("l_linestatus"), _moment("l_shipdate"),
+        ),
+        _sql_sample("region", "r_regionkey", "r_regionkey", _quoted("r_name")),
         _sql_sample("nation", "n_nationkey", "n_nationkey", _quoted("n_name"), "n_regionkey"),
         _sql_sample(
             "orders", "o_orderkey", "o_orderkey", "o_custkey", _quoted("o_orderstatus"), "o_totalprice",
@@ -110,21 +151,6 @@ def schema_text(spark: SparkSession, folder: str) -> DataFrame:
     return sampled_schema(spark, folder)
 
 
-LINEITEM_KEYS = (
-    "l_orderkey",
-    "l_linenumber",
-    "l_partkey",
-    "l_suppkey",
-    "l_shipdate",
-    "l_quantity",
-    "l_extendedprice",
-    "l_discount",
-    "l_tax",
-    "l_returnflag",
-    "l_linestatus",
-)
-
-
 @query(f"SELECT * FROM lineitem ORDER BY {', '.join(LINEITEM_KEYS)} LIMIT 25 OFFSET 50")
 def page_rows(spark: SparkSession, folder: str) -> DataFrame:
     return page(table(spark, folder, "lineitem"), LINEITEM_KEYS, limit=25, offset=50)
