@@ -65,7 +65,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power_table(kind: str, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
-        steps = np.full(max(n, SLICE_BYTES + 1), _BASE if kind == "up" else _INVERSE, U64)
+        steps = np.full(max(n, 2 * len(_powers[kind])), _BASE if kind == "up" else _INVERSE, U64)
         steps[0] = 1
         _powers[kind] = np.multiply.accumulate(steps)
     return _powers[kind][:n]
@@ -153,3 +153,20 @@ def least_labels(linked: np.ndarray) -> np.ndarray:
         if (lower == label).all():
             return label
         label = lower
+
+
+def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of the nodes below ``n`` the least node that it reaches over edges ``a[i], b[i]``."""
+    label = np.arange(n)
+    while len(a):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(label, high, low)
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+        a, b = label[a], label[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return label
