@@ -46,6 +46,9 @@ NO_BAND, BELOW_BAR = 5e-8, 5e-9
 BUCKET_CHUNK = 512
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 256, 1_000_000
 
+# Bytes of text whose shingles are held at once.
+PART_BYTES = 1 << 18
+
 _NIBBLE_ONES = U64(0x1111111111111111)
 
 SIGNATURE = (
@@ -139,7 +142,7 @@ def signatures(docs: DataFrame, min_percent: int = MIN_PERCENT) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 yield _sign(part, bands)
 
     return docs.select("doc_id", "text").mapInArrow(sign, SIGNATURE)
@@ -219,7 +222,7 @@ def _confirmed(min_percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             ids = group.column("doc_id").to_numpy()
             sets: list[np.ndarray] = []
             for batch in group.combine_chunks().to_batches():
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", PART_BYTES):
                     value, bounds = shingle_sets(part)
                     sets += [value[low:high] for low, high in zip(bounds, bounds[1:])]
             common, sizes = intersections(sets), np.array([len(s) for s in sets])

@@ -16,6 +16,8 @@ from trialspark.llm.stored import stored
 
 SETTINGS = Settings(n_buckets=1 << 18)
 THRESHOLD = 0.3
+# Bytes of text whose words are held at once; features take nearly fifty times that.
+PART_BYTES = 1 << 18
 
 # Words are runs of letters, digits and bytes beyond ASCII; runs of other signs are words too.
 _CLASS = np.full(256, 2, np.uint8)
@@ -64,7 +66,7 @@ def training_rows(labelled: DataFrame, s: Settings = SETTINGS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PART_BYTES):
                 owner, bucket, amount = features(*text_bytes(part.column("text")), s.n_buckets)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -99,4 +101,4 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         owner, bucket, amount = features(*text_bytes(part.column("text")), len(w))
         return [pa.array(sigmoid(sums(owner, part.num_rows, w[bucket] * amount)))]
 
-    return from_text(docs, "score double", compute)
+    return from_text(docs, "score double", compute, PART_BYTES)
